@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fair_mix, near_dedup, packing
+from . import chunk_dedup, fair_mix, near_dedup, packing, pii, quality, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
+
+def op3_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
+def op5_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path())
 
@@ -31,8 +49,11 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.fair_mix(_documents(spark, sf_dir)).drop("copies")
 
 
+_ALL = (op2_crf_pii, op3_gear_chunks, op4_best_two_fit, op5_bradley_terry, op8_near_duplicates, op9_fair_mix, op10_trie_tokens)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_two_fit": op4_best_two_fit, "op8_near_duplicates": op8_near_duplicates, "op9_fair_mix": op9_fair_mix}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
