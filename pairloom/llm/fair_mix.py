@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, durable
 
 #: About so many rows are sorted in one piece.
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 20_000
 
 
 def _targets(docs: DataFrame, weights: tuple[float, ...], max_repeat: int) -> DataFrame:
@@ -50,23 +50,26 @@ def fair_mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("_key"),
     )
-    rows = docs.count()
-    digits = max(1, math.ceil(math.log(max(2, rows / ROWS_A_BUCKET), 16)))
+    if not keep:
+        d = durable(d, "sized")  # texts are read once, for their sizes
+    sized = d.select("_src", "size", "_key") if not keep else durable(d.select("_src", "size", "_key"), "sized")
+    rows = sized.count()
+    digits = max(2, math.ceil(math.log(max(2, rows / ROWS_A_BUCKET), 16)))
     ranges = max(16, 4 * math.ceil(max_repeat * rows / ROWS_A_BUCKET))
-    d = d.withColumn("_bucket", F.substring("_key", 1, digits))
+    sized, d = (x.withColumn("_bucket", F.substring("_key", 1, digits)) for x in (sized, d))
 
-    sums = d.groupBy("_src", "_bucket").agg(F.sum("size").alias("size"))
+    sums = sized.groupBy("_src", "_bucket").agg(F.sum("size").alias("size"))
     targets = _targets(sums, weights, max_repeat)
     ahead = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("_ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size").join(targets, "_src")
     inside = W.partitionBy("_src", "_bucket").orderBy("_key", "size").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("_inside", F.sum("size").over(inside)).join(offsets, ["_src", "_bucket"]).withColumn("_cum", F.col("_ahead") + F.col("_inside"))
+    d, sized = (x.withColumn("_inside", F.sum("size").over(inside)).join(offsets, ["_src", "_bucket"]).withColumn("_cum", F.col("_ahead") + F.col("_inside")) for x in (d, sized))
 
     def finish(e: Column | int) -> Column:
         e = F.lit(e) if isinstance(e, int) else e
         return F.try_divide(e * F.col("source_size") + F.col("_cum"), F.col("target"))
 
-    copies = d.select("_src", "_key", "size", "_budget", "source_size", "_cum", "target", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("_e"))
+    copies = sized.select("_src", "_key", "size", "_budget", "source_size", "_cum", "target", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("_e"))
     copies = copies.select("_src", "_key", "size", "_budget", finish(F.col("_e")).alias("_t")).where("_t is not null and size > 0")
     copies = copies.withColumn("_range", F.floor(F.col("_t") / (1 + F.col("_t")) * ranges))
     by_range = copies.groupBy("_range").agg(F.sum("size").alias("_s"))
