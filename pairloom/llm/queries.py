@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, fair_mix, near_dedup, packing, pii, quality, token_counts
+from . import chunk_dedup, fair_mix, maxscore, near_dedup, ngram, packing, pii, pstable, quality, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(_documents(spark, sf_dir))
+
+
 def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_documents(spark, sf_dir))
 
@@ -41,6 +45,14 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_inner(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
@@ -49,7 +61,7 @@ def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.fair_mix(_documents(spark, sf_dir)).drop("copies")
 
 
-_ALL = (op2_crf_pii, op3_gear_chunks, op4_best_two_fit, op5_bradley_terry, op8_near_duplicates, op9_fair_mix, op10_trie_tokens)
+_ALL = (op1_deleted_interpolation, op2_crf_pii, op3_gear_chunks, op4_best_two_fit, op5_bradley_terry, op6_maxscore, op7_multiprobe, op8_near_duplicates, op9_fair_mix, op10_trie_tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -57,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_fair_mix": fair_mix.ORACLE_SQL}
+    return {"op6_maxscore": maxscore.ORACLE_SQL, "op9_fair_mix": fair_mix.ORACLE_SQL}
