@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from .shared import durable, fold, mix64, parts, word_hashes
 
 #: Bytes of text handled together, and bytes of text whose keys meet in one counting task.
-CHUNK, COUNTED = 16 << 20, 12 << 20
+CHUNK, COUNTED = 8 << 20, 8 << 20
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: Bytes of a key next to the number of its shard: words, word pairs. Shards grow with the input, and so do keys.
-WIDTHS = {"word": 6, "pair": 5}
 #: Steps of the grid for estimates in each power of two, and buckets of context frequency: 0, 1, 2-3, 4-7, ...
 GRID, BUCKETS = 8, 16
 
 
+def widths(bits: int) -> dict[str, int]:
+    """Bytes of a key next to the `bits` of its shard. Shards grow with the input, and so do whole keys, up to 63 bits."""
+    return {"word": min(6, (63 - bits) // 8), "pair": min(5, (63 - bits) // 8)}
+
+
 def _pack(keys: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -31,6 +34,18 @@ def _unpack(blob: bytes, width: int, shard: int) -> np.ndarray:
     return raw.view("<u8").ravel().astype(np.uint64) | np.uint64(shard << (8 * width))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Numbers in a byte each; from 255 on in eight bytes more, at the end."""
+    big = values >= 255
+    return np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype("<u8").tobytes()
+
+
+def _unsmall(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<u8", offset=n).astype(np.int64)
+    return out
+
+
 class Events:
     """Tokens of some texts: an end after each text's words, contexts beside them, keys of words and pairs."""
 
@@ -42,7 +57,7 @@ class Events:
         self.first = np.cumsum(self.lens) - self.lens
         before[self.first] = START
         pair = mix64(before * np.uint64(0x9E3779B97F4A7C15) + mix64(token))
-        self.keys = {"word": token >> np.uint64(64 - bits - 8 * WIDTHS["word"]), "pair": pair >> np.uint64(64 - bits - 8 * WIDTHS["pair"])}
+        self.keys = {kind: x >> np.uint64(64 - bits - 8 * widths(bits)[kind]) for kind, x in (("word", token), ("pair", pair))}
 
 
 def _requests(chunk: int, texts: list, train: np.ndarray, bits: int) -> pd.DataFrame:
@@ -50,41 +65,34 @@ def _requests(chunk: int, texts: list, train: np.ndarray, bits: int) -> pd.DataF
     events = Events(texts, bits)
     learns = np.repeat(train, events.lens)
     rows = []
-    for kind, width in WIDTHS.items():
+    for kind, width in widths(bits).items():
         keys, inverse = np.unique(events.keys[kind], return_inverse=True)
-        counts = np.bincount(inverse, weights=learns, minlength=len(keys)).astype("<u4")
+        counts = np.bincount(inverse, weights=learns, minlength=len(keys)).astype(np.int64)
         edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(8 * width))
         edges[-1] = len(keys)
         for shard in np.flatnonzero(np.diff(edges)).tolist():
             lo, hi = edges[shard], edges[shard + 1]
-            c = counts[lo:hi]
-            rows.append((shard, kind, chunk, _pack(keys[lo:hi], width), (c.astype(np.uint8) if c.max() < 256 else c).tobytes()))
+            rows.append((shard, kind, chunk, _pack(keys[lo:hi], width), _small(counts[lo:hi])))
     return pd.DataFrame(rows, columns=["shard", "kind", "chunk", "keys", "counts"])
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a shard's keys, told to each chunk that holds a key together with others; and the shard's sums."""
+def _answer(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """To each chunk, for its keys in its order: 0 if no other chunk holds the key, else 1 and its total. And the shard's sums."""
     shard, kind = int(pdf["shard"].iloc[0]), pdf["kind"].iloc[0]
-    width = WIDTHS[kind]
-    keys = np.concatenate([_unpack(b, width, shard) for b in pdf["keys"]])
+    width = widths(bits)[kind]
     lens = np.array([len(b) // width for b in pdf["keys"]])
-    counts = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == n else "<u4").astype(np.int64) for c, n in zip(pdf["counts"], lens, strict=True)])
-    chunk = np.repeat(pdf["chunk"].to_numpy(np.int64), lens)
+    keys = np.concatenate([_unpack(b, width, shard) for b in pdf["keys"]])
+    counts = np.concatenate([_unsmall(c, n) for c, n in zip(pdf["counts"], lens, strict=True)])
     order = np.argsort(keys, kind="stable")
-    keys, counts, chunk = keys[order], counts[order], chunk[order]
+    keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    totals = np.add.reduceat(counts, starts)
+    totals = np.add.reduceat(counts[order], starts)
     sizes = np.diff(np.append(starts, len(keys)))
-    shared = np.repeat(np.minimum.reduceat(chunk, starts) != np.maximum.reduceat(chunk, starts), sizes)
-    k, c, t = keys[shared], chunk[shared], np.repeat(totals, sizes)[shared]
-    by_chunk = np.argsort(c, kind="stable")
-    k, c, t = k[by_chunk], c[by_chunk], t[by_chunk]
-    n, v = int(totals.sum()), int((totals > 0).sum())
-    rows = [(0, kind, shard, b"", b"", n, v)]
-    edges = np.flatnonzero(np.diff(c)) + 1
-    for lo, hi in zip(np.append(0, edges), np.append(edges, len(c)), strict=True) if len(c) else ():
-        rows.append((int(c[lo]), kind, shard, _pack(k[lo:hi], width), t[lo:hi].astype("<u4").tobytes() if t[lo:hi].max() < 1 << 32 else t[lo:hi].astype("<u8").tobytes(), 0, 0))
-    return pd.DataFrame(rows, columns=["chunk", "kind", "shard", "keys", "totals", "n", "v"])
+    told = np.empty(len(keys), np.int64)
+    told[order] = np.repeat(np.where(sizes > 1, totals + 1, 0), sizes)  # a chunk asks once for a key
+    rows = [(int(c), kind, shard, _small(t), 0, 0) for c, t in zip(pdf["chunk"], np.split(told, np.cumsum(lens)[:-1]), strict=True)]
+    rows.append((0, kind, -1, b"", int(totals.sum()), int((totals > 0).sum())))
+    return pd.DataFrame(rows, columns=["chunk", "kind", "shard", "totals", "n", "v"])
 
 
 def _code(ratio_log2: np.ndarray, least: int) -> np.ndarray:
@@ -130,23 +138,21 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, n: float, v: float, rou
 def _events_of_chunk(docs: pd.DataFrame, answers: pd.DataFrame, chunk: int, bits: int) -> pd.DataFrame:
     out = []
     if chunk == 0:
-        sums = answers[(answers["kind"] == "word") & (answers["n"] > 0)]
+        sums = answers[(answers["kind"] == "word") & (answers["shard"] < 0)]
         out.append(("sums", None, None, int(sums["n"].sum()), int(sums["v"].sum()), 0.0, [], []))
     if len(docs):
         events = Events(docs["text"].tolist(), bits)
         train = docs["train"].to_numpy(bool)
         learns = np.repeat(train, events.lens)
         inverse, total = {}, {}
-        for kind, width in WIDTHS.items():
+        for kind, width in widths(bits).items():
             keys, inverse[kind] = np.unique(events.keys[kind], return_inverse=True)
             total[kind] = np.bincount(inverse[kind], weights=learns, minlength=len(keys)).astype(np.int64)
-            told = answers[(answers["kind"] == kind) & (answers["keys"].str.len() > 0)].sort_values("shard")
-            if len(told):
-                known = np.concatenate([_unpack(b, width, s) for b, s in zip(told["keys"], told["shard"], strict=True)])
-                sums = np.concatenate([np.frombuffer(t, "<u4" if len(t) * width == len(b) * 4 else "<u8").astype(np.int64) for t, b in zip(told["totals"], told["keys"], strict=True)])
-                at = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
-                hit = keys[at] == known
-                total[kind][at[hit]] = sums[hit]
+            told = answers[(answers["kind"] == kind) & (answers["shard"] >= 0)].sort_values("shard")
+            edges = np.searchsorted(keys, np.append(told["shard"].to_numpy(np.uint64), np.uint64(1 << bits)) << np.uint64(8 * width))
+            edges[-1] = len(keys)
+            sums = np.concatenate([_unsmall(t, n) for t, n in zip(told["totals"], np.diff(edges), strict=True)])
+            total[kind] = np.where(sums > 0, sums - 1, total[kind])
         c1, c2 = total["word"][inverse["word"]], total["pair"][inverse["pair"]]
         starts = total["word"][inverse["word"][events.first[0] + events.lens[0] - 1]]  # texts learnt from, as the end's count
         ctx = np.concatenate([[starts], c1[:-1]])
@@ -189,8 +195,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     counts in a table of bounded size, which alone goes to the driver.
 
     Texts are dealt to chunks by id. A chunk sends its distinct keys, with counts, to the shards of a hash; shards
-    add them up and answer only for keys that several chunks hold, for a key of one chunk has its whole count
-    there. Frequent words cost one key a chunk, and no table of the model is ever in one place. Keys are hashes
+    add them up and answer in a byte or so a key: its total, or that no other chunk holds it, so that its whole
+    count is there. Frequent words cost one key a chunk, and no table of the model is ever in one place. Keys are hashes
     whose length grows with the number of shards. Null text: empty, just the end. Null ids: learnt from, kept.
     Repeated rows count one by one. An empty table gives an empty table.
     """
@@ -211,7 +217,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             yield _requests(chunk, texts.pop(chunk), np.array(train.pop(chunk)), bits)
 
     asked = chunked.mapInPandas(ask, "shard int, kind string, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("shard", "kind").applyInPandas(_answer, "chunk int, kind string, shard int, keys binary, totals binary, n long, v long")
+    answers = asked.groupBy("shard", "kind").applyInPandas(lambda pdf: _answer(pdf, bits), "chunk int, kind string, shard int, totals binary, n long, v long")
 
     def events(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _events_of_chunk(left, right, int(key[0]), bits)
