@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, mix64, text_batches, word_hashes
+from .shared import durable, mix64, parts, text_batches, word_hashes
 
 #: Values kept of each set, and the least share of a union sketch that makes a pair worth confirming. A pair of
 #: similarity 0.75 shares 48 of 64 on average with a deviation of 3.5: under 29 has a chance of about 1e-7.
@@ -112,29 +112,59 @@ def _passing(pairs: DataFrame, sketches: DataFrame, kept: int, share: float) ->
     return pairs.join(su, "u").join(sv, "v").select("u", "v", "su", "sv").mapInPandas(run, "u long, v long")
 
 
-def _across(members: DataFrame, per_cent: int, kept: int, share: float) -> DataFrame:
-    """Pairs within a list and across its components that pass the sketches, a block against a block at a time."""
+def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(values)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(values, s)
+        at = at[at < len(values)]
+        out[i, at[values[at] == s[: len(at)]]] = 1
+    return out
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, a slice of the values at a time."""
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), step):
+        part = common[lo : lo + step]
+        out += _incidence(left, part) @ _incidence(right, part).T
+    return out.astype(np.int64)
+
+
+def _links_across(left: pd.DataFrame, right: pd.DataFrame, words: int, per_cent: int, share: float) -> list[tuple[int, int]]:
+    """A link for each two components that whole sets on either side connect. Sketches tell which sets to look at."""
+    sk = [[np.asarray(s).view(np.uint64) for s in f["sketch"]] for f in (left, right)]
+    n, k, comp = [f["n"].to_numpy() for f in (left, right)], [np.array([len(s) for s in x]) for x in sk], [f["comp"].to_numpy() for f in (left, right)]
+    may = _overlaps(*sk) >= np.ceil(share * np.maximum.outer(*k))
+    may &= (comp[0][:, None] != comp[1][None, :]) & (100 * np.minimum.outer(*n) >= per_cent * np.maximum.outer(*n))
+    rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        return []
+    sets = [shingle_sets(f["text"].iloc[at].tolist(), words) for f, at in ((left, rows), (right, cols))]
+    both = _overlaps(*sets)
+    union = np.add.outer(n[0][rows], n[1][cols]) - both
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for a, b in zip(*np.nonzero((100 * both >= per_cent * union) & may[np.ix_(rows, cols)]), strict=True):
+        i, j = rows[a], cols[b]
+        found.setdefault((comp[0][i], comp[1][j]), (int(left["node"].iloc[i]), int(right["node"].iloc[j])))
+    return list(found.values())
+
+
+def _across(members: DataFrame, words: int, per_cent: int, share: float) -> DataFrame:
+    """Links between components of a cluster: small clusters whole, many to a task; large ones a block against a block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        nodes, comps, sizes = (pdf[c].to_numpy() for c in ("node", "comp", "n"))
-        sketches = [np.asarray(s).view(np.uint64) for s in pdf["sketch"]]
-        values, inverse = np.unique(np.concatenate(sketches), return_inverse=True)
-        has = np.zeros((len(nodes), len(values)), np.float32)
-        has[np.repeat(np.arange(len(nodes)), [len(s) for s in sketches]), inverse] = 1
-        has = has[:, has.sum(axis=0) > 1]
-        shared, count = has @ has.T, np.array([len(s) for s in sketches])
-        more, less = np.maximum.outer(sizes, sizes), np.minimum.outer(sizes, sizes)
-        ok = (shared >= np.ceil(share * np.maximum.outer(count, count))) & (100 * less >= per_cent * more) & (comps[:, None] != comps[None, :]) & (nodes[:, None] < nodes[None, :])
-        if i != j:
-            ok &= (pdf["b"].to_numpy()[:, None] != pdf["b"].to_numpy()[None, :])
-        found = [(nodes[a], nodes[b]) for a, b in zip(*np.nonzero(ok), strict=True) if estimate(sketches[a], sketches[b], kept) >= share]
+        found = []
+        for _, own in pdf.groupby("cluster", sort=False):
+            i, j = own["i"].iloc[0], own["j"].iloc[0]
+            left, right = (own, own) if i == j else (own[own["b"] == i], own[own["b"] == j])
+            found += _links_across(left, right, words, per_cent, share)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     nb = F.ceil(F.col("members") / BLOCK).cast("long")
     blocked = members.withColumn("b", F.pmod(F.xxhash64("node"), nb)).withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
-    cells = blocked.select("value", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "comp", "n", "sketch")
-    return cells.groupBy("value", "i", "j").applyInPandas(run, "u long, v long").distinct()
+    cells = blocked.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "comp", "n", "sketch", "text", "task")
+    return cells.groupBy("task", F.when(F.col("i") + F.col("j") > 0, F.col("cluster")), "i", "j").applyInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int = KEPT, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,10 +173,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept
     One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept. One 64-bit hash
     serves shingles and sketches. Documents of one set form one node. Values of the sketches that several nodes
     hold make inverted lists; each node enters only the lists of its rarest values, as many as a pair similar
-    enough in sketch must share at least one of. First each list links its members to one of them; what the union
-    sketch lets pass is confirmed on the whole sets. Then only lists that still span several components compare
-    members across components, in blocks. So a group of copies or near copies costs rows in proportion to its
-    size, a passage that many documents share stays out of their rarest values, and no link is dropped.
+    enough in sketch must share at least one of. First each list links its members to its most typical one; what the
+    union sketch lets pass is confirmed on the whole sets. Then clusters of lists that still span several components
+    are compared across components, in blocks, and give one confirmed link for two components. So a group of copies
+    or near copies gives rows in proportion to its size, a passage that many documents share stays out of their
+    rarest values, and no link is dropped.
 
     Null, empty and blank texts have size 0 and are linked with nothing, not even with each other; rows of null id
     are kept and take no part. Rows that repeat an id are separate documents. An empty table gives an empty table.
@@ -161,21 +192,27 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept
     common = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     listed = held.join(common, "value").groupBy("node", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("l"))  # at most `kept` a node
     prefix = F.col("k") - _need(F.col("k"), share) + 1 - (F.col("k") - F.size("l"))
-    listed = listed.where(prefix > 0).select("node", F.explode(F.slice("l", 1, F.greatest(prefix, F.lit(1)).cast("int"))["value"]).alias("value"))
-    same = listed.groupBy("value").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(2)), "node"))["node"].alias("pivot")).where("members > 1")
-    lists = same.groupBy("members", "x", "y", "pivot").agg(F.min("value").alias("value"))  # lists of the same members count once
-    listed = durable(listed.join(lists.select("value", "members", "pivot"), "value"), "lists")
+    weight = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("weight")
+    listed = listed.where(prefix > 0).select("node", weight, F.explode(F.slice("l", 1, F.greatest(prefix, F.lit(1)).cast("int"))["value"]).alias("value"))
+    listed = durable(listed, "listed")
+    lists = listed.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node"))["node"].alias("pivot")).where("members > 1")
+    star = listed.join(lists, "value").where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+    star = durable(star, "star")
 
     sketches = nodes.select("node", "n", "sketch")
-    star = listed.where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    texts = _texts(source, nodes, listed, words)
-    first = durable(confirmed(_passing(star, sketches, kept, share), texts, words, per_cent), "links")
+    near_size = F.lit(100) * F.least("n", "m") >= F.lit(per_cent) * F.greatest("n", "m")
+    sized = star.join(nodes.select(F.col("node").alias("u"), "n"), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v").where(near_size).select("u", "v")
+    texts = _texts(source, nodes, star.select(F.col("u").alias("node")).union(star.select("v")), words)
+    first = durable(confirmed(_passing(sized, sketches, kept, share), texts, words, per_cent), "links")
     comp = components(first)
-    with_comp = listed.join(comp.select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    with_comp = durable(with_comp, "members")
-    open_lists = with_comp.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("value")
-    second = durable(_across(with_comp.join(open_lists, "value", "left_semi").join(sketches, "node"), per_cent, kept, share), "across")
-    more = durable(confirmed(second, texts, words, per_cent), "links")
+    clusters = components(star).select("node", F.col("label").alias("cluster"))
+    member = clusters.join(comp.select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = durable(member, "members")
+    unsettled = member.groupBy("cluster").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster", "members")
+    unsettled = durable(unsettled, "unsettled")
+    tasks = parts(unsettled.agg(F.sum("members")).first()[0] or 0, BLOCK, 1)
+    unsettled = unsettled.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
+    more = durable(_across(member.join(unsettled, "cluster").join(sketches, "node").join(texts, "node"), words, per_cent, share), "across")
     if more.isEmpty():
         final = comp
     else:
