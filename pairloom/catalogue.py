@@ -1,8 +1,4 @@
 """Every named query with its DuckDB statement."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from pairloom.plans import indicator_queries, pair_queries, report_queries  # noqa: F401
+from pairloom.registry import ORACLES, QUERIES  # noqa: F401
