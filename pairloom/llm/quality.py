@@ -82,11 +82,16 @@ def fit(x: np.ndarray, y: np.ndarray, *, seed: int = 3, pairs: int = PAIRS, pena
         return Ranking(mean, scale, np.zeros(k), 1.0 if len(bad) else -1.0, 1.0, 0.0)
     rng = np.random.default_rng(seed)
     z = np.clip((x - mean) / scale, -8, 8)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(k)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(k), d.T @ (1 - p) / pairs - penalty * w)
+        hessian, slope = penalty * np.eye(k), -penalty * w
+        for lo in range(0, pairs, 10_000):  # differences are made a slice at a time
+            d = z[better[lo : lo + 10_000]] - z[worse[lo : lo + 10_000]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+            hessian += (d * (p * (1 - p))[:, None]).T @ d / pairs
+            slope += d.T @ (1 - p) / pairs
+        step = np.linalg.solve(hessian, slope)
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
