@@ -17,7 +17,7 @@ from .vectors import best, clean, meet
 #: Tables, projections of each, cells along a projection, width of a cell in deviations of the projection.
 TABLES, PROJECTIONS, CELLS, WIDTH = 2, 4, 8, 0.75
 #: A query visits buckets of a table, likeliest first, until a neighbour is among them with this probability.
-SUCCESS = 0.86
+SUCCESS = 0.80
 #: The index is fitted on at most so many rows, those of the smallest hashed ids; every row is indexed.
 FITTED_ON = 4_096
 SHARD, GROUP = 8_192, 1_024
@@ -38,21 +38,36 @@ class Index:
 
     def __init__(self, sample: np.ndarray, longest: float, count: int, k: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.longest = longest
+        self.longest, self.mean = longest, 0.0
+        self.mean = self.lift(sample).mean(axis=0) if len(sample) else np.zeros(sample.shape[1] + 1)
         s = self.lift(sample)
         self.a = rng.normal(size=(TABLES, s.shape[1], PROJECTIONS))
         flat = np.einsum("nd,tdk->ntk", s, self.a)
-        self.width = WIDTH * np.maximum(flat.std(axis=0), 1e-9)
-        self.shift = -flat.mean(axis=0) / self.width + rng.random((TABLES, PROJECTIONS))
-        # how far a neighbour is: of some sample rows, the distance to as near a row as the k-th of all would be
-        some = s[:256]
-        d = np.sqrt(np.maximum(0, (some**2).sum(1)[:, None] + (s**2).sum(1) - 2 * some @ s.T))
-        d.sort(axis=1)
-        near = min(d.shape[1] - 1, max(1, round(k * d.shape[1] / max(1, count))))
-        self.reach = float(np.quantile(d[:, near], 0.5)) if near else 0.0
+        self.width = WIDTH * np.maximum(flat.std(axis=0), 1e-9) if len(s) else np.ones((TABLES, PROJECTIONS))
+        self.shift = rng.random((TABLES, PROJECTIONS))
+        self.sample = s
+        self.near = max(1, math.ceil(k * len(s) / max(1, count)))
+
+    def expected(self, aimed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where projections of a query's neighbours fall: a share of the query's own, and a deviation around it.
+
+        A row is a multiple of the query and a rest at right angles to it, whose Gaussian projection has the rest's
+        length as deviation. Both come from rows of the sample about as near as the k-th of all would be.
+        """
+        d = (aimed**2).sum(1)[:, None] + (self.sample**2).sum(1) - 2 * aimed @ self.sample.T
+        lo, hi = min(self.near, d.shape[1] - 1), min(self.near + 5, d.shape[1])
+        rows = self.sample[np.argpartition(d, np.arange(lo, hi), axis=1)[:, lo:hi]]
+        share = np.einsum("nkd,nd->nk", rows, aimed) / np.maximum((aimed**2).sum(1), 1e-300)[:, None]
+        rest = ((rows - share[:, :, None] * aimed[:, None]) ** 2).sum(axis=2)
+        return share.mean(axis=1), np.sqrt(rest.mean(axis=1))
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(axis=1)))[:, None]], axis=1)
+        return np.concatenate([x, np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(axis=1)))[:, None]], axis=1) - self.mean
+
+    def aim(self, q: np.ndarray) -> np.ndarray:
+        """Queries stretched to the rows' common length, which changes no order of inner products."""
+        norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
+        return np.concatenate([q * (self.longest / np.maximum(norm, 1e-300)), np.zeros((len(q), 1))], axis=1) - self.mean
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Cell number of each row in each table."""
@@ -61,11 +76,12 @@ class Index:
 
     def visits(self, q: np.ndarray) -> np.ndarray:
         """For each query and table, which of all cells it visits: in order of estimated success, until SUCCESS."""
-        lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-        f = np.einsum("nd,tdk->ntk", lifted, self.a) / self.width + self.shift
+        aimed = self.aim(q)
+        share, rest = self.expected(aimed)
+        f = np.einsum("nd,tdk->ntk", aimed * share[:, None], self.a) / self.width + self.shift
         edges = np.arange(CELLS + 1) - CELLS // 2.0
         edges[0], edges[-1] = -np.inf, np.inf
-        spread = np.maximum(self.reach / self.width, 1e-6)
+        spread = np.maximum(rest[:, None, None] / self.width, 1e-6)
         cdf = _phi(np.clip((edges - f[..., None]) / spread[..., None], -30, 30))
         p = np.diff(cdf, axis=-1)  # query, table, projection, cell along it
         grid = np.array(list(itertools.product(range(CELLS), repeat=PROJECTIONS)))[:, ::-1]
@@ -122,7 +138,7 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str =
     """The k rows of the largest inner product found for each query (ids divisible by `every`): query_id, rank, vec_id, score.
 
     Each table hashes a row to one of CELLS ** PROJECTIONS buckets by Gaussian (2-stable) projections. A query
-    orders all buckets by the probability that a neighbour at the usual distance falls in, and visits the likeliest
+    orders all buckets by the probability that a neighbour as near as its own in the sample falls in, and visits the likeliest
     until SUCCESS. Buckets of few rows share a shard, those of many are split over several by hash, so a bucket
     holding a third of all rows is searched whole and spread. The rows found in any table are ranked by their
     exact inner product. The number of buckets does not depend on the data, so their counts can go to the driver.
