@@ -320,6 +320,47 @@ def random_control(spark, sf):
     return got.groupBy("draw").agg((F.exp(F.sum(F.ln(1 + F.col("pnl")))) - 1).alias("total"))
 
 
+@query(f"""with {TRADES}, c as (select distinct pair from trades where pair < 'P2'), x as (select a.pair as a, b.pair as b from c a cross join c b),
+m as (select x.a, x.b, corr(p.r, q.r) as r from x join (select pair, d, avg(net_pnl_pct) as r from trades group by 1, 2) p on p.pair = x.a join (select pair, d, avg(net_pnl_pct) as r from trades group by 1, 2) q on q.pair = x.b and q.d = p.d group by 1, 2)
+select x.a, x.b, cast(x.a = x.b as int) as placeholder, case when abs(m.r) > 0.999999 then round(m.r, 1) else round(m.r, 4) end as correlation from x left join m on m.a = x.a and m.b = x.b""")
+def pair_correlation_matrix(spark, sf):
+    """The identity that the reference's report holds, beside the real correlation of pairs' daily results."""
+    t = P.trades(spark, sf).where("pair < 'P2'").groupBy("pair", "d").agg(F.avg("net_pnl_pct").alias("r"))
+    names = P.trades(spark, sf).where("pair < 'P2'").select("pair").distinct()
+    a, b = t.select(F.col("pair").alias("a"), "d", F.col("r").alias("x")), t.select(F.col("pair").alias("b"), "d", F.col("r").alias("y"))
+    m = a.join(b, "d").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
+    grid = names.select(F.col("pair").alias("a")).crossJoin(F.broadcast(names.select(F.col("pair").alias("b"))))  # some ten names
+    return grid.join(m, ["a", "b"], "left").select("a", "b", (F.col("a") == F.col("b")).cast("int").alias("placeholder"), F.when(F.abs("c") > 0.999999, F.round("c", 1)).otherwise(F.round("c", 4)).alias("correlation"))
+
+
+@query("""with s as (select p_brand as s1, p_type as s2, p_size as k, count(*) as bars from part group by 1, 2, 3) select s1, s2, arg_min(k, (-bars, k)) as resel_date, max(bars) as bars from s group by 1, 2""")
+def longest_windows(spark, sf):
+    from pairloom.plans.system import longest_windows as pick
+
+    s = P.table(spark, sf, "part").groupBy(F.col("p_brand").alias("s1"), F.col("p_type").alias("s2"), F.col("p_size").alias("resel_date")).agg(F.count("*").alias("bars"))
+    return pick(s)
+
+
+@query(f"with {TRADES}, {_PROF}, z as (select profile, {_pc('1e6')} as total, 4 * 1e6 / 2 * commission_bps / 1e4 as commission, 4 * 1e6 / 2 * bid_ask_bps / 1e4 as bid_ask from trades cross join prof) "
+       "select 'commission' as part, " + ", ".join(f"round(sum(commission) filter (profile = '{p[0]}'), 0) as {p[0]}" for p in C.PROFILES) + " from z union all select 'bid_ask', " + ", ".join(f"round(sum(bid_ask) filter (profile = '{p[0]}'), 0)" for p in C.PROFILES) + " from z")
+def fund_cost_table(spark, sf):
+    """The transposed cost table of the fund report: components as rows, profiles as columns."""
+    t = P.trades(spark, sf).select("short_sym", "holding_days", F.lit(1e6).alias("value")).crossJoin(F.broadcast(C.profiles(spark)))  # five rows
+    x = C.profile_costs(t).groupBy("profile").agg(F.sum("commission_cost").alias("commission"), F.sum("bid_ask_cost").alias("bid_ask"))
+    names = [p[0] for p in C.PROFILES]
+    return x.unpivot("profile", ["commission", "bid_ask"], "part", "v").groupBy("part").pivot("profile", names).agg(F.round(F.sum("v"), 0))
+
+
+@query()
+def system_report(spark, sf):
+    """The whole run on weekly brand bars: its walk-forward and backtest rows."""
+    from pairloom.plans.pair_queries import WEEKLY
+    from pairloom.plans.system import run_system
+
+    got = run_system(P.bars_brand_week(spark, sf).where("sym < 'Brand#2'"), P.macro_day(spark, sf), _sectors(spark, sf).select("sym", "d", "close"), "1998-06-30", config=WEEKLY, train=104, test=26)
+    return got["backtest"].withColumn("name", F.lit("backtest")).unionByName(got["baseline"].withColumn("name", F.lit("baseline")))
+
+
 # simulation ---------------------------------------------------------------------------------------------------------
 
 _SIM = EngineConfig(min_quality=0.3, min_strength=0.3)
