@@ -238,3 +238,17 @@ def _texts(source: DataFrame, nodes: DataFrame, listed: DataFrame, words: int) -
 
     found = source.where("text is not null").join(wanted, "doc_id").select("node", "text").mapInPandas(run, "node long, text string, d1 long, d2 long, m long")
     return durable(found.where("node = xxhash64(d1, d2, m)").select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+#: The same groups as one DuckDB statement, through all shared shingles and the closure of the links.
+ORACLE_SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from t),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+r as (select doc_id, doc_id as root from documents union select l.y, r.root from r join l on l.x = r.doc_id)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.root) as component_id, r.doc_id = min(r.root) as kept
+from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

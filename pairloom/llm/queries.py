@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_maxscore": maxscore.ORACLE_SQL, "op9_fair_mix": fair_mix.ORACLE_SQL}
+    return {"op6_maxscore": maxscore.ORACLE_SQL, "op8_near_duplicates": near_dedup.ORACLE_SQL, "op9_fair_mix": fair_mix.ORACLE_SQL}
