@@ -17,6 +17,8 @@ class EngineConfig:
     half_life_high: float = 25.0
     min_score: float = 0.4
     factors: int = 5
+    reselect_every: int = 90
+    learned_rank: bool = False
     # signals
     entry_z: float = 1.8
     exit_z: float = 0.5
@@ -36,6 +38,11 @@ class EngineConfig:
     losses_to_rest: int = 3
     rest_days: int = 30
     max_cost: float = 0.01
+    stop_days: int = 63
+    stop_share: float = 0.20
+    max_roughness: float = 0.55
+    min_recent_correlation: float = 0.20
+    wild_volatility: float = 0.08
     # sizing
     base_size: float = 0.04
     min_size: float = 0.03

@@ -111,3 +111,26 @@ def kalman(lp1: np.ndarray, lp2: np.ndarray, delta: float = 1e-5, noise: float =
         p = (1 - gain * x_t) * ahead
         out[t] = y_t - beta * x_t
     return out
+
+
+def page_break(v: np.ndarray, threshold: float = 5.0, k: float = 0.5) -> bool:
+    """Two-sided Page test of the standardised changes: a running sum less its running minimum, floored at 0."""
+    if len(v) < 20:
+        return False
+    r = np.diff(v)
+    sd = r.std(ddof=1)
+    if not sd >= 1e-8:
+        return False
+    u = (r - r.mean()) / sd
+    sums = np.cumsum([u - k, -u - k], axis=1)
+    return bool((sums - np.minimum(0.0, np.minimum.accumulate(sums, axis=1))).max() > threshold)
+
+
+def roughness(v: np.ndarray, lags: tuple[int, ...] = (1, 2, 4, 8, 16)) -> float:
+    """Half the slope of log variance of increments on log lag, within 0 to 1; 0.5 where there is too little to fit."""
+    if len(v) < 20:
+        return 0.5
+    points = [(math.log(k), math.log(var)) for k in lags if k < len(v) // 2 and (var := float((v[k:] - v[:-k]).var())) >= 1e-16]
+    if len(points) < 3:
+        return 0.5
+    return min(1.0, max(0.0, float(np.polyfit(*zip(*points, strict=True), 1)[0]) / 2))

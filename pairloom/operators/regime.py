@@ -39,9 +39,9 @@ def regime_scale(vix: Column, z: Column) -> Column:
     return F.least(by_vix, by_z)
 
 
-def hard_stop(days: DataFrame, n: int = 63, most: float = 0.20) -> DataFrame:
-    """days (d, scale) with stop: over a fifth of the last n days at a reduced scale, from the n-th day on."""
-    w = W.orderBy("d")
+def hard_stop(days: DataFrame, n: int = 63, most: float = 0.20, by: tuple[str, ...] = ()) -> DataFrame:
+    """days (d, scale) with stop: over a fifth of the last n days at a reduced scale, from the n-th day on (of each group)."""
+    w = W.partitionBy(*by).orderBy("d")
     share = F.sum((F.col("scale") < 1).cast("int")).over(w.rowsBetween(-(n - 1), 0)) / n
     return days.withColumn("stop", (F.row_number().over(w) >= n) & (share > most))
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - median) / (q75 - q25) by column, over the whole table; a range of 0 counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
+def robust_scale(df: DataFrame, columns: list[str], learn_from: DataFrame | None = None) -> DataFrame:
+    """(x - median) / (q75 - q25) by column, both of the whole table or of another one; a range of 0 counts as 1."""
+    q = (df if learn_from is None else learn_from).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
     out = df.crossJoin(F.broadcast(q))  # one row
     scaled = {c: (F.col(c) - F.col(f"_{c}")[1]) / F.coalesce(F.nullif(F.col(f"_{c}")[2] - F.col(f"_{c}")[0], F.lit(0.0)), F.lit(1.0)) for c in columns}
     return out.withColumns(scaled).drop(*[f"_{c}" for c in columns])

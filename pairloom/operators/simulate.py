@@ -3,56 +3,109 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairloom.config import CONFIG, EngineConfig
+from pairloom.functions import numeric
 
 from . import spread as SP
+from .regime import as_of, hard_stop
 
 PAIR = ("s1", "s2")
-TRADES = "window int, signal_d date, d date, exit_d date, s1 string, s2 string, action string, position_pct double, strength double, zscore double, quality double, spread_return double, gross_pnl_pct double, cost_pct double, net_pnl_pct double, pnl_dollar double, holding_days int"
+TRADES = "window int, signal_d date, d date, exit_d date, s1 string, s2 string, action string, position_pct double, strength double, zscore double, quality double, feature_quality double, spread_return double, gross_pnl_pct double, cost_pct double, net_pnl_pct double, pnl_dollar double, holding_days int"
 
 
-def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFIG, *, least: int = 50) -> DataFrame:
+def calendar(rows: DataFrame) -> DataFrame:
+    """d, n, next_d: the dates of all rows, numbered, each with the one after it."""
+    w = W.orderBy("d")  # as many rows as dates
+    return rows.select("d").distinct().withColumn("n", F.row_number().over(w)).withColumn("next_d", F.lead("d").over(w))
+
+
+def active(signals: DataFrame, schedule: DataFrame, day: str = "d") -> DataFrame:
+    """The signals (s1, s2, day, ...) of pairs that the schedule (resel_date, s1, s2) has in force: of the latest selection at or before the day, else of the first."""
+    dates = schedule.select(F.col("resel_date").alias("d"), F.col("resel_date").alias("_from")).distinct()
+    first = F.broadcast(schedule.agg(F.min("resel_date").alias("_first")))  # one row
+    days = as_of(signals.select(F.col(day).alias("d")).distinct().withColumn("sym", F.lit("")), dates, "_from").crossJoin(first).select(F.col("d").alias(day), F.coalesce("_from", "_first").alias("resel_date"))
+    return signals.join(days, day).join(schedule.select("resel_date", *PAIR).distinct(), ["resel_date", *PAIR], "left_semi").drop("resel_date")
+
+
+def _lock(config: EngineConfig) -> Callable[..., Column]:
+    """What is locked at a signal: gates, mean, deviation and recent volatility of the spread at the signal's hedge ratio."""
+
+    @F.pandas_udf("ok boolean, mu double, sd double, vol double")
+    def lock(a: pd.Series, b: pd.Series, beta: pd.Series, bars: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, hedge, n in zip(a, b, beta, bars, strict=True):
+            v = np.asarray(x, float)[-n:] - hedge * np.asarray(y, float)[-n:]
+            if abs(y[-1]) <= 1e-4 or len(v) < 20:
+                out.append((True, None, None, None))  # nothing to lock: the signal stands
+                continue
+            late = v[-60:]
+            ok = not numeric.page_break(v) and numeric.roughness(v) <= config.max_roughness
+            out.append((ok, late.mean(), max(late.std(), 1e-8), np.diff(v)[-10:].std(ddof=1)))
+        return pd.DataFrame(out, columns=["ok", "mu", "sd", "vol"]).astype({"mu": float, "sd": float, "vol": float})
+
+    return lock
+
+
+def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFIG, *, least: int = 50, schedule: DataFrame | None = None, scores: DataFrame | None = None, fills: DataFrame | None = None) -> DataFrame:
     """One row for each pair and signal day that passes the gates that need no portfolio state.
 
-    kalman: (s1, s2, d, p1, p2, s, beta); stats: (s1, s2, half_life, score). Break and roughness gates look at a
-    pair's history; the hedge ratio and the reference mean and deviation are locked at the signal; the fill is on
-    the next bar and the exit search starts on the bar after it, as a join on ordinals in blocks.
+    kalman: (s1, s2, d, p1, p2, s, beta); stats: (s1, s2, half_life, score). Optional: schedule (resel_date, s1, s2) of
+    pairs in force; scores (s1, s2, d, score) of the learned rank, 1 where absent; fills (s1, s2, d, f1, f2), prices at
+    which orders fill in place of closes.
+    Everything at a signal is known on its day: break and roughness gates look at the spread of the locked hedge ratio
+    over three half-lives (30 to 90 bars). The fill is on the next date of the calendar and the exit search starts on
+    the date after it, as a join on ordinals in blocks. A signal without a fill or an exit keeps its row, with nulls:
+    it takes part in the ranking of its day.
     """
     w = W.partitionBy(*PAIR).orderBy("d")
-    run, last60 = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(-59, 0)
-    x = SP.expanding_z(kalman).withColumn("i", F.row_number().over(w))
+    last60, last90 = w.rowsBetween(-59, 0), w.rowsBetween(-89, 0)
+    x = SP.expanding_z(kalman.join(calendar(kalman), "d")).withColumn("i", F.row_number().over(w))
+    if fills is None:
+        x = x.withColumn("f1", F.col("p1")).withColumn("f2", F.col("p2"))
+    else:
+        x = x.join(fills.select(*PAIR, "d", "f1", "f2"), [*PAIR, "d"], "left")
     x = SP.rolling_correlation(x)
-    gates = SP.hurst(kalman).join(SP.cusum_break(kalman, threshold=25.0), list(PAIR)).where("hurst <= 0.55 and not break").select(*PAIR)
-    x = x.join(stats.select(*PAIR, "half_life", F.col("score").alias("quality")), list(PAIR)).join(gates, list(PAIR), "left_semi")
-    x = x.withColumn("hold", F.greatest(F.lit(10), F.least(F.lit(25), F.floor(2.5 * F.col("half_life")))).cast("int"))
-    x = x.withColumn("ref", F.collect_list(F.struct(F.ln("p1").alias("a"), F.ln("p2").alias("b"))).over(last60))  # at most 60 rows
-    sig = x.where((F.col("i") >= least) & (F.col("corr") >= 0.2) & (F.abs("z") > config.entry_z) & (F.col("quality") >= 0.4) & F.col("beta").isNotNull())
-    locked = F.transform("ref", lambda v: v["a"] - F.col("beta") * v["b"])
-    mean = F.aggregate(locked, F.lit(0.0), lambda a, v: a + v) / F.size("ref")
-    sig = sig.withColumn("locked", locked).withColumn("mu0", mean)
-    sig = sig.withColumn("sd0", F.greatest(F.sqrt(F.aggregate("locked", F.lit(0.0), lambda a, v: a + (v - F.col("mu0")) * (v - F.col("mu0"))) / F.size("ref")), F.lit(1e-8)))
-    sig = sig.select(*PAIR, F.col("d").alias("signal_d"), F.col("i").alias("i0"), "z", "quality", "hold", F.col("beta").alias("beta0"), "mu0", "sd0", (F.col("z") < 0).alias("long"))
-    sig = sig.withColumn("z0", F.col("z"))
+    sd60 = F.stddev_samp("s").over(last60)
+    x = x.withColumn("m60", F.avg("s").over(last60)).withColumn("s60", F.when((F.col("i") >= 30) & (sd60 >= 1e-8), sd60))
+    x = x.withColumn("ds", F.col("s") - F.lag("s").over(w)).withColumn("vol10", F.stddev_samp("ds").over(w.rowsBetween(-9, 0)))
+    # at most 90 numbers each, for rows in passing: only those of signals stay
+    x = x.withColumn("a", F.collect_list(F.ln(F.greatest("p1", F.lit(1e-8)))).over(last90)).withColumn("b", F.collect_list(F.ln(F.greatest("p2", F.lit(1e-8)))).over(last90))
+    sig = x.where((F.col("i") >= least) & (F.col("corr") >= config.min_recent_correlation) & (F.abs("z") > config.entry_z))
+    sig = SP.reference_window(sig.join(stats.where("score >= 0.4").select(*PAIR, "half_life", F.col("score").alias("quality")), list(PAIR)))
+    if schedule is not None:
+        sig = active(sig, schedule)
+    if scores is None:
+        sig = sig.withColumn("feature", F.lit(1.0))
+    else:
+        sig = sig.join(scores.select(*PAIR, "d", F.col("score").alias("feature")), [*PAIR, "d"], "left").withColumn("feature", F.coalesce("feature", F.lit(1.0)))
+    sig = sig.withColumn("hold", F.greatest(F.lit(10), F.least(F.lit(25), F.floor(2.5 * F.col("half_life")))).cast("int"))
+    sig = sig.withColumn("lock", _lock(config)("a", "b", "beta", "window")).where("lock.ok")
+    sig = sig.select(
+        *PAIR, F.col("d").alias("signal_d"), F.col("n").alias("n0"), F.col("next_d").alias("fill_d"), "z", "quality", "feature", "hold", F.col("beta").alias("beta0"), F.col("lock.mu").alias("mu0"), F.col("lock.sd").alias("sd0"),
+        F.coalesce((F.col("s") - F.col("lock.mu")) / F.col("lock.sd"), "z").alias("z0"), F.coalesce("lock.vol", "vol10").alias("sizer_vol"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), (F.col("z") < 0).alias("long"),
+    )
     block = 25
-    bars = x.select(*PAIR, "d", "i", "p1", "p2").withColumn("blk", F.floor(F.col("i") / block))
-    e = sig.withColumn("blk", F.explode(F.sequence(F.floor((F.col("i0") + 1) / block), F.floor((F.col("i0") + 1 + F.col("hold")) / block))))
-    j = e.join(bars, [*PAIR, "blk"]).where(F.col("i").between(F.col("i0") + 1, F.col("i0") + 1 + F.col("hold")))
-    z = (F.ln("p1") - F.col("beta0") * F.ln("p2") - F.col("mu0")) / F.col("sd0")
-    held = F.col("i") - F.col("i0") - 1
-    out = (held >= 1) & (F.when(F.col("long"), (z > -0.5) | (z - F.col("z0") > 1)).otherwise((z < 0.5) | (F.col("z0") - z > 1)) | (held >= F.col("hold")))
-    at = F.struct("d", "p1", "p2")
-    key = [*PAIR, "signal_d", "z", "quality", "long"]
-    g = j.groupBy(*key).agg(F.min(F.when(held == 0, at)).alias("fill"), F.min_by(F.when(out, at), F.when(out, F.col("i"))).alias("exit"))
-    g = g.where("fill is not null and exit is not null")
-    move = F.ln(F.col("exit.p1") / F.col("fill.p1")) - F.ln(F.col("exit.p2") / F.col("fill.p2"))
-    return g.select(*PAIR, "signal_d", F.col("fill.d").alias("d"), F.col("exit.d").alias("exit_d"), "z", "quality", "long", F.least(F.lit(1.0), F.abs("z") / 3).alias("strength"), F.col("fill.p1").alias("px1"), F.col("fill.p2").alias("px2"), F.when(F.col("long"), move).otherwise(-move).alias("spread_return"))
+    bars = x.select(*PAIR, "d", "n", "p1", "p2", "f1", "f2", "m60", "s60").withColumn("blk", F.floor(F.col("n") / block))
+    e = sig.withColumn("blk", F.explode(F.sequence(F.floor((F.col("n0") + 1) / block), F.floor((F.col("n0") + 1 + F.col("hold")) / block))))
+    e, bars = e.alias("e"), bars.alias("b")
+    met = (F.col("e.s1") == F.col("b.s1")) & (F.col("e.s2") == F.col("b.s2")) & (F.col("e.blk") == F.col("b.blk")) & F.col("n").between(F.col("n0") + 1, F.col("n0") + 1 + F.col("hold"))
+    j = e.join(bars, met, "left").select("e.*", "d", "n", "p1", "p2", "f1", "f2", "m60", "s60").drop("blk")
+    z = (F.ln(F.greatest("p1", F.lit(1e-8))) - F.col("beta0") * F.ln(F.greatest("p2", F.lit(1e-8))) - F.coalesce("mu0", "m60")) / F.coalesce("sd0", "s60")
+    held = F.col("n") - F.col("n0") - 1
+    rule = F.when(F.col("long"), (z > -config.exit_z) | (z - F.col("z0") > config.adverse_z)).otherwise((z < config.exit_z) | (F.col("z0") - z > config.adverse_z))
+    out = (held >= 1) & z.isNotNull() & (rule | (held >= F.col("hold")))
+    g = j.groupBy(*sig.columns).agg(F.min(F.when(held == 0, F.struct("f1", "f2"))).alias("fill"), F.min_by(F.when(out, F.struct("d", "f1", "f2")), F.when(out, F.col("n"))).alias("exit"))
+    g = g.withColumn("px1", F.coalesce("fill.f1", "q1")).withColumn("px2", F.coalesce("fill.f2", "q2"))
+    move = F.ln(F.col("exit.f1") / F.col("px1")) - F.ln(F.col("exit.f2") / F.col("px2"))
+    return g.select(*PAIR, "signal_d", F.col("fill_d").alias("d"), F.col("exit.d").alias("exit_d"), "z", "quality", "feature", "long", F.least(F.lit(1.0), F.abs("z") / 2.5).alias("strength"), "sizer_vol", "px1", "px2", F.when(F.col("long"), move).otherwise(-move).alias("spread_return"))
 
 
 def _scale(history: deque, value: float, start: float) -> float:
@@ -79,65 +132,80 @@ def _cost(half: float, p1: float, p2: float, short: str, days: int) -> float:
 def fold(cand: pd.DataFrame, days: pd.DataFrame, config: EngineConfig = CONFIG, window: int = 0) -> tuple[pd.DataFrame, pd.DataFrame]:
     """The ordered part: one pass over the days. Returns trades and daily returns.
 
-    days: (d, scale, stop) with every day of the calendar. Within a day the best strength times quality go first,
-    ties by pair; the cap on a day's picks applies before locks and exposure, and dropped picks are not replaced.
+    days: (d, scale, stop) with every day of the calendar. A day's signals first pass what is known in the morning
+    (legs locked by open trades, rest after losses, the risk rules with the size they would get); the best by strength
+    times quality times learned score are picked, ties by pair; then each pick meets what the day's trades before it
+    left (locks, exposure) and its costs. Dropped picks, and picks without a fill or an exit, are not replaced.
     """
     value = start = peak = config.capital
     due, release, locked = defaultdict(float), defaultdict(float), {}
     streak, rest, last = defaultdict(int), {}, {}
     history, outcomes, exposure, paused = deque(maxlen=100), deque(maxlen=50), 0.0, False
     trades, daily = [], []
-    by_day = {d: g for d, g in cand.groupby("signal_d")} if len(cand) else {}
+    by_day = {d: g.sort_values(["s1", "s2"], kind="stable") for d, g in cand.groupby("signal_d")} if len(cand) else {}
+
+    def size(c) -> float:
+        form = 1.0
+        if len(outcomes) > 5:
+            share = sum(x > 0 for x in list(outcomes)[-5:]) / 5
+            form = 0.7 if share < 0.3 else 1.3 if share > 0.7 else 1.0
+        calm = 0.8 if c.sizer_vol > config.wild_volatility else 1.0
+        part = config.base_size * min(0.7 + 0.6 * c.strength, 2.0) * min(0.8 + 0.4 * c.quality, 1.5) * form * calm
+        return max(config.min_size, min(config.max_position, part)) * scale * min(abs(c.z) / 2.3, 2.0)
+
+    def rests(pair, today) -> bool:
+        if pair in rest and (today - rest[pair]).days >= config.rest_days:
+            del rest[pair]
+            streak.pop(pair, None)
+        return pair in rest
+
     for day in days.sort_values("d").itertuples(index=False):
         today = due.pop(day.d, 0.0)
         exposure = max(0.0, exposure - release.pop(day.d, 0.0))
-        scale = min(_scale(history, value, start), 1.0) * day.scale
+        scale = _scale(history, value, start) * day.scale
         locked = {s: d for s, d in locked.items() if d > day.d}
-        count = 0
-        picks = by_day.get(day.d)
-        if picks is not None and not day.stop and not paused:
-            picks = picks.assign(rank=-picks["strength"] * picks["quality"]).sort_values(["rank", "s1", "s2"], kind="stable").head(config.max_daily_trades)
-            for c in picks.itertuples(index=False):
+        picks = []
+        if day.d in by_day and not day.stop:
+            for c in by_day[day.d].itertuples(index=False):
                 pair = (c.s1, c.s2)
-                if c.s1 in locked or c.s2 in locked or c.quality < config.min_quality or c.strength < config.min_strength or abs(c.z) < config.min_signal_z:
-                    continue
-                if pair in rest and (day.d - rest[pair]).days < config.rest_days or pair in last and (day.d - last[pair]).days < 1:
+                if c.s1 in locked or c.s2 in locked or rests(pair, day.d):
                     continue
-                recent = list(outcomes)[-5:]
-                form = 1.0
-                if len(outcomes) > 5:
-                    share = sum(x > 0 for x in recent) / 5
-                    form = 0.7 if share < 0.3 else 1.3 if share > 0.7 else 1.0
-                size = config.base_size * min(0.7 + 0.6 * c.strength, 2.0) * min(0.8 + 0.4 * c.quality, 1.5) * form
-                pct = max(config.min_size, min(config.max_position, size)) * scale * min(abs(c.z) / 2.3, 2.0)
-                if pct > config.max_position or exposure + pct > config.max_exposure:
-                    continue
-                money = pct * value
-                held = max(1, (c.exit_d - c.d).days)
-                cost = _cost(money / 2, c.px1, c.px2, c.s2 if c.long else c.s1, held) / value
-                if cost > config.max_cost:
-                    continue
-                gross = c.spread_return * pct / 2
-                net = gross - cost
-                trades.append((window, day.d, c.d, c.exit_d, c.s1, c.s2, "LONG" if c.long else "SHORT", pct, c.strength, c.z, c.quality, c.spread_return, gross, cost, net, net * value, held))
-                streak[pair] = streak[pair] + 1 if net < 0 else 0
-                if streak[pair] >= config.losses_to_rest:
-                    rest[pair] = day.d
-                elif net >= 0:
-                    rest.pop(pair, None)
-                due[c.exit_d] += net
-                release[c.exit_d] += pct
-                exposure += pct
-                locked[c.s1] = locked[c.s2] = c.exit_d
-                last[pair] = day.d
-                outcomes.append(net)
-                count += 1
+                pct = size(c)
+                weak = c.strength < config.min_strength or abs(c.z) < config.min_signal_z or c.quality < config.min_quality
+                soon = pair in last and (day.d - last[pair]).days < 1
+                if not (paused or weak or soon or pct > config.max_position or exposure + pct > config.max_exposure):
+                    picks.append((c, pct))
+            picks.sort(key=lambda p: -p[0].strength * p[0].quality * p[0].feature)
+        count = 0
+        for c, pct in picks[: config.max_daily_trades]:
+            pair = (c.s1, c.s2)
+            if c.s1 in locked or c.s2 in locked or pd.isna(c.d) or pd.isna(c.exit_d) or exposure + pct > config.max_exposure:
+                continue
+            held = max(1, (c.exit_d - c.d).days)
+            cost = _cost(pct * value / 2, c.px1, c.px2, c.s2 if c.long else c.s1, held) / value
+            if cost > config.max_cost:
+                continue
+            gross = c.spread_return * pct / 2
+            net = gross - cost
+            trades.append((window, day.d, c.d, c.exit_d, c.s1, c.s2, "LONG" if c.long else "SHORT", pct, c.strength, c.z, c.quality, c.feature, c.spread_return, gross, cost, net, net * value, held))
+            streak[pair] = streak[pair] + 1 if net < 0 else 0
+            if streak[pair] >= config.losses_to_rest:
+                rest[pair] = day.d
+            elif net >= 0:
+                rest.pop(pair, None)
+            due[c.exit_d] += net
+            release[c.exit_d] += pct
+            exposure += pct
+            locked[c.s1] = locked[c.s2] = c.exit_d
+            last[pair] = day.d
+            outcomes.append(net)
+            count += 1
         value *= 1 + today
         daily.append((window, day.d, today, value, count, exposure))
         history.append(today)
         peak = max(peak, value)
         paused = today < -config.pause_loss
-        if (peak - value) / peak >= config.stop_drawdown or today < -config.stop_day_loss:
+        if (peak - value) / peak >= config.stop_drawdown or today < -config.stop_day_loss or exposure > config.max_exposure:
             break
     columns = [c.split()[0] for c in TRADES.split(", ")]
     return pd.DataFrame(trades, columns=columns), pd.DataFrame(daily, columns=["window", "d", "pnl", "value", "trades", "exposure"])
@@ -149,13 +217,16 @@ DAILY = "window int, d date, pnl double, value double, trades int, exposure doub
 def simulate(cand: DataFrame, days: DataFrame, windows: DataFrame | None = None, *, result: str = "trades", config: EngineConfig = CONFIG) -> DataFrame:
     """Trades or daily results. With windows (window, test_start, test_end) each runs apart, in parallel, from a fresh state.
 
-    One fold a window sees only its candidates, a few rows a day: the state is sequential, the rest is not.
+    days: (d, scale). One fold a window sees only its candidates, a few rows a day: the state is sequential, the rest is
+    not. The hard stop counts days of the window; fills and exits beyond its end do not happen.
     """
     if windows is None:
         windows = days.agg(F.lit(0).alias("window"), F.min("d").alias("test_start"), F.max("d").alias("test_end"))
     span = F.broadcast(windows.select("window", "test_start", "test_end"))  # a row a quarter
-    c = cand.join(span, F.col("signal_d").between(F.col("test_start"), F.col("test_end")) & (F.col("exit_d") <= F.col("test_end"))).drop("test_start", "test_end")
-    d = days.join(span, F.col("d").between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
+    c = cand.join(span, F.col("signal_d").between(F.col("test_start"), F.col("test_end")))
+    c = c.withColumns({k: F.when(F.col(k) <= F.col("test_end"), F.col(k)) for k in ("d", "exit_d")}).drop("test_start", "test_end")
+    d = days.select("d", "scale").join(span, F.col("d").between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
+    d = hard_stop(d, config.stop_days, config.stop_share, by=("window",))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(b):

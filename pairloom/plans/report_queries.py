@@ -363,7 +363,7 @@ def system_report(spark, sf):
 
 # simulation ---------------------------------------------------------------------------------------------------------
 
-_SIM = EngineConfig(min_quality=0.3, min_strength=0.3)
+_SIM = EngineConfig(min_quality=0.3, min_strength=0.3, stop_share=0.9)
 
 
 def _candidates(spark, sf):
@@ -376,7 +376,7 @@ def _candidates(spark, sf):
 def _days(spark, sf):
     d = P.bars_brand_week(spark, sf).select("d").distinct()
     reg = _regime(spark, sf).select("d", "scale")
-    return RG.hard_stop(RG.as_of(d.withColumn("sym", F.lit("")), reg, "scale").select("d", F.coalesce("scale", F.lit(1.0)).alias("scale")), most=0.9)
+    return RG.as_of(d.withColumn("sym", F.lit("")), reg, "scale").select("d", F.coalesce("scale", F.lit(1.0)).alias("scale"))
 
 
 @query()

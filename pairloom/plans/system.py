@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.config import CONFIG, EngineConfig
-from pairloom.operators import baselines, pairs, regime, reports, significance, simulate, spread
+from pairloom.operators import baselines, pairs, regime, reports, scorer, significance, simulate, spread
 from pairloom.sources.panels import write_json_report
 
 
 def run_system(bars: DataFrame, macro: DataFrame, sectors: DataFrame, train_end: str, *, config: EngineConfig = CONFIG, train: int = 252, test: int = 63, out: str | None = None) -> dict[str, DataFrame]:
     """bars (sym, d, close, volume), macro (d, vix), sectors (sym, d, close). Lazy tables by name; `out` also writes the bounded ones as JSON.
 
-    Pairs are selected on bars up to train_end and traded after it.
+    Pairs are selected on bars up to train_end and traded after it while the schedule of re-selections has them; the
+    walk-forward windows trade every pair that was ever scheduled. With config.learned_rank a day's signals are also
+    ranked by what a model learnt from spreads up to train_end.
     """
     # both are small next to the bars and read by every later table; a lost executor's part is made again from its lineage
     picked = pairs.select_pairs(bars.where(F.col("d") <= F.lit(train_end).cast("date")), config).persist()
     kalman = spread.kalman_spread(pairs.align(bars).join(picked.select("s1", "s2"), ["s1", "s2"], "left_semi"))
-    cand = simulate.candidates(kalman, picked, config).where(F.col("signal_d") > F.lit(train_end).cast("date")).persist()
+    schedule = pairs.pair_schedule(bars, picked, every=config.reselect_every).persist()
+    scores = learned_scores(kalman, train_end) if config.learned_rank else None
+    signals = simulate.candidates(kalman, picked, config, scores=scores).persist()
+    cand = simulate.active(signals, schedule, "signal_d").where(F.col("signal_d") > F.lit(train_end).cast("date"))
+    ever = signals.join(schedule.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi")
     z = regime.dispersion_z(sectors).where("z is not null")
     market = bars.select("d").distinct().withColumn("sym", F.lit(""))
     state = regime.as_of(regime.as_of(market, macro, "vix"), z, "z").select("d", regime.regime_scale(F.coalesce("vix", F.lit(18.0)), F.coalesce("z", F.lit(0.0))).alias("scale"))
-    days = regime.hard_stop(state)
-    after = days.where(F.col("d") > F.lit(train_end).cast("date"))
+    after = state.where(F.col("d") > F.lit(train_end).cast("date"))
     trades = simulate.simulate(cand, after, config=config)
     daily = simulate.simulate(cand, after, result="daily", config=config).select("d", "pnl")
-    windows = reports.walk_windows(days, train, test)
-    walked = simulate.simulate(cand, days, windows, result="daily", config=config)
+    windows = reports.walk_windows(state, train, test)
+    walked = simulate.simulate(ever, state, windows, result="daily", config=config)
     shaped = trades.withColumn("pair", F.concat_ws("-", "s1", "s2")).withColumn("trade_id", F.xxhash64("s1", "s2", "signal_d")).withColumn("short_sym", F.when(F.col("action") == "LONG", F.col("s2")).otherwise(F.col("s1")))
     found = {
         "pairs": picked, "trades": trades, "daily": daily, "summary": reports.trade_summary(trades), "backtest": reports.backtest_summary(daily), "by_action": reports.by_category(trades, ["LONG", "SHORT"], F.col("action")),
@@ -40,6 +45,16 @@ def run_system(bars: DataFrame, macro: DataFrame, sectors: DataFrame, train_end:
     return found
 
 
+def learned_scores(kalman: DataFrame, train_end: str) -> DataFrame:
+    """s1, s2, d, score: how likely the spread returns, scaled and learnt on the days up to train_end."""
+    columns = ["mean_5", "mean_10", "std_5", "std_10", "from_ma_5", "from_ma_20", "mom_20"]
+    rows = spread.features(kalman).na.drop()
+    early = kalman.where(F.col("d") <= F.lit(train_end).cast("date"))
+    known = rows.where(F.col("d") <= F.lit(train_end).cast("date"))
+    train = spread.outcomes(early).join(known, ["s1", "s2", "d"])
+    return scorer.rank_signals(scorer.robust_scale(train, columns, known), scorer.robust_scale(rows, columns, known), columns).select("s1", "s2", "d", "score")
+
+
 def normalised(bars: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
