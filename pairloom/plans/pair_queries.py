@@ -32,9 +32,9 @@ def _spread(spark, sf):
     return OP.log_spread(_pairs(spark, sf))
 
 
-@query(f"with {PAIRS} select s1, s2, d, p1, p2 from joined where s1 = 'Brand#11' or s2 = 'Brand#9'")
+@query(f"with {PAIRS} select s1, s2, d, p1, p2 from joined")
 def align_inner(spark, sf):
-    return _pairs(spark, sf).where("s1 = 'Brand#11' or s2 = 'Brand#9'")
+    return _pairs(spark, sf)
 
 
 @query(f"with {BARS} select a.sym as s1, b.sym as s2 from (select distinct sym from bars) a join (select distinct sym from bars) b on a.sym < b.sym")
@@ -51,17 +51,17 @@ def spread_signals(spark, sf):
     return SP.expanding_z(_spread(spark, sf)).where("abs(z) >= 1.8").select("s1", "s2", "d", R("z", 5))
 
 
-@query(f"with {_Z} select s1, s2, d, round(z, 5) as z from zz where s1 = 'Brand#11'")
+@query(f"with {_Z} select s1, s2, d, round(z, 5) as z from zz")
 def zscore_expanding(spark, sf):
-    return SP.expanding_z(_spread(spark, sf).where("s1 = 'Brand#11'")).select("s1", "s2", "d", R("z", 5))
+    return SP.expanding_z(_spread(spark, sf)).select("s1", "s2", "d", R("z", 5))
 
 
 @query(f"""with {SPREAD}, f as (select s1, s2, d, s, s - lag(s) {PP} as diff, coalesce(lag(s, 20) {PP}, first_value(s) {PP}) as back from spread)
 select s1, s2, d, round(diff, 6) as diff, round(avg(diff) {run('4 preceding')}, 6) as mean_5, round(avg(diff) {run('9 preceding')}, 6) as mean_10, round(stddev_samp(diff) {run('9 preceding')}, 6) as std_10,
 round((s - avg(s) {run('4 preceding')}) / (stddev_samp(s) {run('unbounded preceding')} + 1e-8), 5) as from_ma_5, round((s - back) / (stddev_samp(s) {run('unbounded preceding')} + 1e-8), 5) as mom_20
-from f where s1 = 'Brand#11'""")
+from f""")
 def spread_features(spark, sf):
-    return SP.features(_spread(spark, sf).where("s1 = 'Brand#11'")).select("s1", "s2", "d", R("diff"), R("mean_5"), R("mean_10"), R("std_10"), R("from_ma_5", 5), R("mom_20", 5))
+    return SP.features(_spread(spark, sf)).select("s1", "s2", "d", R("diff"), R("mean_5"), R("mean_10"), R("std_10"), R("from_ma_5", 5), R("mom_20", 5))
 
 
 @query(f"""with {PAIRS}, r as (select s1, s2, d, p1 / lag(p1) {PP} - 1 as r1, p2 / lag(p2) {PP} - 1 as r2 from joined), c as (select * from r where r1 is not null and r2 is not null),
@@ -73,9 +73,9 @@ def pair_correlation_clean(spark, sf):
 
 
 @query(f"""with {PAIRS}, r as (select s1, s2, d, ln(p1) - ln(lag(p1) {PP}) as r1, ln(p2) - ln(lag(p2) {PP}) as r2 from joined)
-select s1, s2, d, round(case when count(r1) {run('19 preceding')} >= 15 then corr(r1, r2) {run('19 preceding')} end, 5) as corr from r where s2 = 'Brand#9'""")
+select s1, s2, d, round(case when count(r1) {run('19 preceding')} >= 15 then corr(r1, r2) {run('19 preceding')} end, 5) as corr from r""")
 def rolling_corr_20(spark, sf):
-    return SP.rolling_correlation(_pairs(spark, sf).where("s2 = 'Brand#9'")).select("s1", "s2", "d", R("corr", 5))
+    return SP.rolling_correlation(_pairs(spark, sf)).select("s1", "s2", "d", R("corr", 5))
 
 
 _HL = SPREAD + f""", ar as (select s1, s2, s, lag(s) {PP} as b from spread), hl as (select s1, s2, case when count(*) >= 50 and regr_slope(s, b) > 0 and regr_slope(s, b) < 1
@@ -117,7 +117,7 @@ def hurst_exponent(spark, sf):
     return SP.hurst(_spread(spark, sf)).select("s1", "s2", R("hurst"))
 
 
-_KALMAN = PAIRS + """, k0 as (select s1, s2, d, p1, ln(p1 + 1e-8) as y, ln(p2 + 1e-8) as x, row_number() over (partition by s1, s2 order by d) as i, count(*) over (partition by s1, s2) as n from joined where s1 = 'Brand#11' and s2 < 'Brand#16'),
+_KALMAN = PAIRS + """, k0 as (select s1, s2, d, p1, ln(p1 + 1e-8) as y, ln(p2 + 1e-8) as x, row_number() over (partition by s1, s2 order by d) as i, count(*) over (partition by s1, s2) as n from joined),
 q as (select s1, s2, 1e-5 / (1 - 1e-5) * var_pop(x) as q, regr_slope(y, x) filter (i <= 30) as b0 from k0 where n >= 100 group by 1, 2),
 k as (select s1, s2, 0::bigint as i, null::date as d, b0 as b, 1.0::double as p, 0.0::double as s from q
   union all select s1, s2, i, d, b1 as b, (1 - g * x) * pp as p, y - b1 * x as s from (select *, b + g * (y - x * b) as b1 from (select k0.s1, k0.s2, k0.i, k0.d, k0.x, k0.y, k.b, k.p + q.q as pp, (k.p + q.q) * k0.x / (k0.x * k0.x * (k.p + q.q) + 0.001) as g
@@ -126,12 +126,12 @@ k as (select s1, s2, 0::bigint as i, null::date as d, b0 as b, 1.0::double as p,
 
 @query(f"with recursive {_KALMAN} select s1, s2, d, round(s, 6) as s from k where i > 0")
 def kalman_spread(spark, sf):
-    return SP.kalman_spread(_pairs(spark, sf).where("s1 = 'Brand#11' and s2 < 'Brand#16'")).select("s1", "s2", "d", R("s"))
+    return SP.kalman_spread(_pairs(spark, sf)).select("s1", "s2", "d", R("s"))
 
 
 @query(f"with recursive {_KALMAN} select k.s1, k.s2, k.d, round(case when abs(ln(j.p2)) > 1e-4 then (ln(j.p1) - k.s) / ln(j.p2) else 1 end, 6) as beta from k join joined j on j.s1 = k.s1 and j.s2 = k.s2 and j.d = k.d where k.i > 0")
 def locked_beta(spark, sf):
-    return SP.kalman_spread(_pairs(spark, sf).where("s1 = 'Brand#11' and s2 < 'Brand#16'")).select("s1", "s2", "d", R("beta"))
+    return SP.kalman_spread(_pairs(spark, sf)).select("s1", "s2", "d", R("beta"))
 
 
 @query(f"""with {SPREAD}, x as (select *, row_number() {PP} - 1 as i, count(*) over (partition by s1, s2) as n, avg(s) {run('unbounded preceding')} as mu, stddev_samp(s) {run('unbounded preceding')} + 1e-8 as sd, list(s) {run('1 following', '10 following')} as nx from spread)
@@ -208,5 +208,5 @@ def pair_selection(spark, sf):
 @query()
 def pair_schedule(spark, sf):
     bars = P.bars_brand_week(spark, sf)
-    pool = OP.align(bars).select("s1", "s2").distinct().where("s1 = 'Brand#11'")
+    pool = OP.align(bars).select("s1", "s2").distinct()
     return OP.pair_schedule(bars, pool, every=52, window_days=1460, least=100, short_days=728)

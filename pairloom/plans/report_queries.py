@@ -285,7 +285,7 @@ def oos_window_test(spark, sf):
 
 # baselines ----------------------------------------------------------------------------------------------------------
 
-_DT = BARS + """, paths as (select sym, d, close / first_value(close) over (partition by sym order by d) as p from bars), pj as (select a.sym as s1, b.sym as s2, a.d, a.p as p1, b.p as p2 from paths a join paths b on a.d = b.d and a.sym < b.sym where a.sym = 'Brand#11'),
+_DT = BARS + """, paths as (select sym, d, close / first_value(close) over (partition by sym order by d) as p from bars), pj as (select a.sym as s1, b.sym as s2, a.d, a.p as p1, b.p as p2 from paths a join paths b on a.d = b.d and a.sym < b.sym),
 f as (select s1, s2, avg(p1 - p2) as mu, stddev_samp(p1 - p2) as sd from pj where d <= date '1996-12-31' group by 1, 2 having count(*) >= 30 and stddev_samp(p1 - p2) > 0),
 t as (select pj.*, mu, sd, p1 - p2 as x, r from (select *, p1 / lag(p1) over w - p2 / lag(p2) over w as r from pj window w as (partition by s1, s2 order by d)) pj join f using (s1, s2) where d > date '1996-12-31'),
 n as (select *, row_number() over (partition by s1, s2 order by d) as i, count(*) over (partition by s1, s2) as m from t),
@@ -296,7 +296,7 @@ dt as (select s1, s2, d, pnl - case when i = m and pos <> 0 then 0.0005::double
 
 
 def _distance(spark, sf):
-    pairs = OP.align(_paths(spark, sf)).where("s1 = 'Brand#11'")
+    pairs = OP.align(_paths(spark, sf))
     return BL.distance_trades(pairs, "1996-12-31")
 
 
@@ -320,13 +320,13 @@ def random_control(spark, sf):
     return got.groupBy("draw").agg((F.exp(F.sum(F.ln(1 + F.col("pnl")))) - 1).alias("total"))
 
 
-@query(f"""with {TRADES}, c as (select distinct pair from trades where pair < 'P2'), x as (select a.pair as a, b.pair as b from c a cross join c b),
+@query(f"""with {TRADES}, c as (select distinct pair from trades), x as (select a.pair as a, b.pair as b from c a cross join c b),
 m as (select x.a, x.b, corr(p.r, q.r) as r from x join (select pair, d, avg(net_pnl_pct) as r from trades group by 1, 2) p on p.pair = x.a join (select pair, d, avg(net_pnl_pct) as r from trades group by 1, 2) q on q.pair = x.b and q.d = p.d group by 1, 2)
 select x.a, x.b, cast(x.a = x.b as int) as placeholder, case when abs(m.r) > 0.999999 then round(m.r, 1) else round(m.r, 4) end as correlation from x left join m on m.a = x.a and m.b = x.b""")
 def pair_correlation_matrix(spark, sf):
     """The identity that the reference's report holds, beside the real correlation of pairs' daily results."""
-    t = P.trades(spark, sf).where("pair < 'P2'").groupBy("pair", "d").agg(F.avg("net_pnl_pct").alias("r"))
-    names = P.trades(spark, sf).where("pair < 'P2'").select("pair").distinct()
+    t = P.trades(spark, sf).groupBy("pair", "d").agg(F.avg("net_pnl_pct").alias("r"))
+    names = P.trades(spark, sf).select("pair").distinct()
     a, b = t.select(F.col("pair").alias("a"), "d", F.col("r").alias("x")), t.select(F.col("pair").alias("b"), "d", F.col("r").alias("y"))
     m = a.join(b, "d").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
     grid = names.select(F.col("pair").alias("a")).crossJoin(F.broadcast(names.select(F.col("pair").alias("b"))))  # some ten names
@@ -357,7 +357,7 @@ def system_report(spark, sf):
     from pairloom.plans.pair_queries import WEEKLY
     from pairloom.plans.system import run_system
 
-    got = run_system(P.bars_brand_week(spark, sf).where("sym < 'Brand#2'"), P.macro_day(spark, sf), _sectors(spark, sf).select("sym", "d", "close"), "1998-06-30", config=WEEKLY, train=104, test=26)
+    got = run_system(P.bars_brand_week(spark, sf), P.macro_day(spark, sf), _sectors(spark, sf).select("sym", "d", "close"), "1998-06-30", config=WEEKLY, train=104, test=26)
     return got["backtest"].withColumn("name", F.lit("backtest")).unionByName(got["baseline"].withColumn("name", F.lit("baseline")))
 
 
@@ -367,7 +367,7 @@ _SIM = EngineConfig(min_quality=0.3, min_strength=0.3, stop_share=0.9)
 
 
 def _candidates(spark, sf):
-    pairs = OP.align(P.bars_brand_week(spark, sf)).where("s1 in ('Brand#11', 'Brand#21', 'Brand#31')")
+    pairs = OP.align(P.bars_brand_week(spark, sf))
     life = OP.half_life(pairs)
     stats = life.withColumn("score", 0.4 + 0.5 / (1 + F.col("half_life")))
     return SM.candidates(SP.kalman_spread(pairs), stats, _SIM)
