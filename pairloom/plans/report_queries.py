@@ -13,6 +13,7 @@ from pairloom.operators import regime as RG
 from pairloom.operators import reports as RP
 from pairloom.operators import scorer as SC
 from pairloom.operators import significance as SG
+from pairloom.operators import risk as RK
 from pairloom.operators import simulate as SM
 from pairloom.operators import spread as SP
 from pairloom.plans.pair_queries import _paths, _spread
@@ -361,6 +362,37 @@ def system_report(spark, sf):
     return got["backtest"].withColumn("name", F.lit("backtest")).unionByName(got["baseline"].withColumn("name", F.lit("baseline")))
 
 
+# risk and size ------------------------------------------------------------------------------------------------------
+
+_SIZES = TRADES + """, sized as (select trade_id, strength, zscore, 0.45::double + (trade_id * 7) % 50 / 100.0::double as quality, (trade_id * 11) % 40 / 100.0::double as volatility, (trade_id * 13) % 30 / 100.0::double as exposure, (trade_id * 3) % 4 * 600000.0::double as volume, px_long from trades),
+f as (select *, greatest(0.03, least(0.1, 0.04::double * least(0.7 + 0.6 * strength, 2) * least(0.8 + 0.4 * quality, 1.5) * case when volatility > 0.08 then 0.8 else 1 end)) * least(abs(zscore) / 2.3, 2) as size from sized)"""
+
+
+def _sized(spark, sf):
+    k = F.col("trade_id")
+    part = lambda m, n: F.pmod(k * m, F.lit(n))
+    t = P.trades(spark, sf).select("trade_id", "strength", "zscore", (0.45 + part(7, 50) / F.lit(100.0)).alias("quality"), (part(11, 40) / F.lit(100.0)).alias("volatility"), (part(13, 30) / F.lit(100.0)).alias("exposure"), (part(3, 4) * 600000.0).alias("volume"))
+    return t.withColumn("size", RK.size_fraction(F.col("strength"), F.col("quality"), F.col("zscore"), F.col("volatility")))
+
+
+@query(f"with {_SIZES} select trade_id, round(size, 8) as size from f")
+def position_sizes(spark, sf):
+    return _sized(spark, sf).select("trade_id", R("size", 8))
+
+
+@query(f"""with {_SIZES} select trade_id, case when zscore < 1.5 and zscore > -1.5 then 'zscore' when quality < 0.55 then 'quality' when size > 0.1 then 'size' when volatility > 0.3 then 'volatility' when exposure + size > 0.3 then 'exposure' when volume < 1000000 then 'volume' else 'pass' end as verdict from f""")
+def signal_verdicts(spark, sf):
+    c = F.col
+    return _sized(spark, sf).select("trade_id", RK.verdict(c("strength"), c("zscore"), c("quality"), c("size"), c("exposure"), c("volatility"), c("volume")).alias("verdict"))
+
+
+@query(f"""with {DAILY}, v as (select d, pnl, exp(sum(ln(1 + pnl)) over (order by d {UP})) as value, count(*) over (order by d rows between unbounded preceding and 1 preceding) as seen, stddev_pop(pnl) over (order by d rows between 20 preceding and 1 preceding) * sqrt(252) / 0.02 as ratio from daily),
+u as (select *, 1 - value / greatest(1, max(value) over (order by d {UP})) as drawdown, coalesce(lag(value) over (order by d), 1) - 1 as gain, coalesce(lag(pnl) over (order by d), 0) as eve from v)
+select d, pnl, round(value, 6) as value, round(drawdown, 6) as drawdown, round(least(case when seen < 10 or ratio <= 1 then 1 when ratio > 1.5 then 0.5 else 1.5 - ratio / 2 end, case when gain < 0.4 then 1 when gain >= 0.6 then 0.5 else 2 - gain * 2.5 end), 6) as scale, eve < -0.03 as paused, drawdown >= 0.15 or pnl < -0.05 as stop from u""")
+def risk_state(spark, sf):
+    return RK.risk_state(P.daily(spark, sf)).select("d", "pnl", R("value"), R("drawdown"), R("scale"), "paused", "stop")
+
+
 # simulation ---------------------------------------------------------------------------------------------------------
 
 _SIM = EngineConfig(min_quality=0.3, min_strength=0.3, stop_share=0.9)
