@@ -210,3 +210,19 @@ def pair_schedule(spark, sf):
     bars = P.bars_brand_week(spark, sf)
     pool = OP.align(bars).select("s1", "s2").distinct()
     return OP.pair_schedule(bars, pool, every=52, window_days=1460, least=100, short_days=728)
+
+
+@query()
+def signal_features(spark, sf):
+    """The 38 numbers of every pair and week, with brands' own indicators and regions as sectors."""
+    from pairloom.operators import indicators as I
+    from pairloom.operators.features import signal_features as made
+
+    bars, pairs = P.bars_brand_week(spark, sf), _pairs(spark, sf)
+    legs = I.rsi(bars).select("sym", "d", "rsi_14").join(I.momentum(bars).select("sym", "d", "momentum_5"), ["sym", "d"]).join(I.high_vol_regime(bars).select("sym", "d", F.col("high_vol_regime").alias("high_vol")), ["sym", "d"])
+    stats = OP.half_life(pairs).join(OP.clean_correlation(pairs, 250).select("s1", "s2", "correlation"), ["s1", "s2"]).withColumn("score", 0.4 + 0.5 / (1 + F.col("half_life")))
+    sectors = P.sector_week(spark, sf).groupBy("sector", "d").agg(F.avg("close").alias("close"))
+    region = P.table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("sector"))
+    names = bars.select("sym").distinct()
+    sector_of = names.join(F.broadcast(region), F.pmod(F.crc32("sym"), F.lit(5)) == F.col("r_regionkey")).select("sym", "sector")  # five rows
+    return made(_spread(spark, sf), legs, stats, P.macro_day(spark, sf), sectors, sector_of)
