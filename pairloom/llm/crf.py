@@ -54,6 +54,7 @@ class Model:
     trans: np.ndarray
     first: np.ndarray
     cache: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)
+    settled: dict[tuple[str, ...], bool] = field(default_factory=dict)
 
     def emissions(self, shape: list[str]) -> np.ndarray:
         if len(self.cache) > 200_000:
@@ -66,6 +67,31 @@ class Model:
             rows.append(row)
         return np.array(rows).reshape(len(rows), len(self.labels))
 
+    def settles(self, shape: tuple[str, ...]) -> bool:
+        """Whether one of these tokens, but for the two at either end, has the first label in the best path of any text around them.
+
+        It has if that label is best there between every pair of labels of the outer ones, for the rest of the text acts
+        on the path through these two alone.
+        """
+        known = self.settled.get(shape)
+        if known is None:
+            if len(self.settled) > 200_000:
+                self.settled.clear()
+            e = self.emissions(list(shape))[2:-2]
+            n, k = e.shape
+            back = [np.where(np.eye(k, dtype=bool), 0.0, -np.inf)]  # from a token to the last one
+            for t in range(n - 1, 0, -1):
+                back.append(((self.trans + e[t])[:, :, None] + back[-1]).max(axis=1))
+            ahead, known = np.where(np.eye(k, dtype=bool), e[0], -np.inf), False
+            for t in range(1, n - 1):
+                ahead = (ahead[:, :, None] + self.trans).max(axis=1) + e[t]
+                through = ahead[:, :, None] + back[n - 1 - t]
+                if (through[:, 0] > through[:, 1:].max(axis=1) + 1e-9).all():
+                    known = True
+                    break
+            self.settled[shape] = known
+        return known
+
     def decode(self, emissions: list[np.ndarray], most: int = 200_000) -> list[np.ndarray]:
         """Best label paths by Viterbi, sequences of like length together, at most about `most` tokens at a time."""
         order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))

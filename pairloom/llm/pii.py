@@ -23,9 +23,11 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[^0-9]+")
-#: Near these the field may find something; everywhere else its label is fixed to "none".
-_TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
-_REACH = 28
+#: What _valid accepts holds one of these.
+_TRIGGER = re.compile(r"[0-9@]+|[\[(]at[\])]", re.I)
+#: Tokens beside a stretch that are tried for one that is surely "none", context included, and characters read for them.
+_MARGIN, _REACH = 12, 96
+_SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -97,16 +99,64 @@ def default_model() -> crf.Model:
     return crf.train(labelled_table(), KINDS)
 
 
-def _segments(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @ signs, widened to white space; between them nothing can be found."""
-    out: list[list[int]] = []
+def _run_start(text: str, at: int) -> int:
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _run_end(text: str, at: int) -> int:
+    m = _SPACE.search(text, at)
+    return m.start() if m else len(text)
+
+
+def _before(text: str, at: int, model: crf.Model) -> int:
+    """Where to begin for a run that starts at `at`: before a token that is surely "none" in the whole text."""
+    while at > 0:
+        lo = _run_start(text, max(0, at - _REACH))
+        if lo == 0:
+            return 0
+        part = text[lo:at]
+        if len(spans := crf.tokens(part)) >= _MARGIN and model.settles(tuple(crf.shapes(part, spans)[-_MARGIN:])):
+            return _run_start(text, lo + spans[-_MARGIN][0])
+        at = _run_start(text, (lo + at) // 2)
+    return 0
+
+
+def _after(text: str, at: int, model: crf.Model) -> int:
+    """Where to end for a run that ends at `at`: behind a token that is surely "none" in the whole text."""
+    while at < len(text):
+        hi = _run_end(text, min(len(text), at + _REACH))
+        if hi == len(text):
+            return hi
+        part = text[at:hi]
+        if len(spans := crf.tokens(part)) >= _MARGIN and model.settles(tuple(crf.shapes(part, spans)[:_MARGIN])):
+            return _run_end(text, at + spans[_MARGIN - 1][1])
+        at = _run_end(text, (at + hi) // 2)
+    return len(text)
+
+
+def _segments(text: str, model: crf.Model) -> list[tuple[int, int]]:
+    """Stretches of whole runs between white space around digits, @ signs and their spellings.
+
+    At either end of a stretch, unless it is that of the text, the best path of the whole text passes a token whose
+    label is surely "none"; what lies between the two is decoded as in the whole text.
+    """
+    out: list[tuple[int, int]] = []
+    hi, lo = -1, 0
+    upto = -1
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(lo, hi) for lo, hi in out]
+        if m.end() <= upto:
+            continue
+        if m.start() >= hi:
+            if hi >= 0:
+                out.append((lo, hi))
+            lo = _before(text, _run_start(text, m.start()), model)
+        upto = _run_end(text, m.end())
+        hi = _after(text, upto, model)
+    if hi >= 0:
+        out.append((lo, hi))
+    return out
 
 
 def _valid(kind: str, value: str) -> bool:
@@ -124,7 +174,7 @@ def added_spans(texts: list[str], model: crf.Model, base: list[list[tuple[int, i
     """What the field finds outside the base spans and what the form of its kind bears out."""
     where, emissions, at = [], [], []
     for i, text in enumerate(texts):
-        for lo, hi in _segments(text):
+        for lo, hi in _segments(text, model):
             part = text[lo:hi]
             spans = crf.tokens(part)
             emissions.append(model.emissions(crf.shapes(part, spans)))
@@ -162,8 +212,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
     """Personal data of whole texts: doc_id, n_<kind> and base_sha256 of the pattern matches, spans of all, and `keep`.
 
     The model has some thousand weights, learnt from labelled_table() in a second, and goes with the tasks. Texts
-    are read whole, a few megabytes at a time. Viterbi runs on stretches around digits and @ signs: elsewhere the
-    label is fixed, so the chain falls apart there and the stretches are decoded exactly. Null and empty texts
+    are read whole, a few megabytes at a time. Viterbi runs on stretches around digits, @ signs and [at]: each goes on
+    to tokens that are "none" whatever lies beyond, so that its spans are those of the whole text. Null and empty texts
     have no spans (the digest is that of the empty string); repeated rows count one by one; null ids are kept.
     """
     model = default_model()
