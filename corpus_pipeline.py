@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.llm import near_dedup, packing, pii, quality
 from pairloom.llm.fair_mix import fair_mix
 from pairloom.llm.queries import tokenizer_path
-from pairloom.llm.shared import durable
+from pairloom.llm.shared import WORD, durable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,10 +23,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group, once. Rows without an id all stay."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return with_id.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps the document of the smallest id of each near-duplicate group, once.
+
+    Rows without an id take part by one beyond all others, made of their text, so they give way to rows with one;
+    those without a word all stay.
+    """
+    top = max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
+    apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    made = F.lit(top + 1) + F.pmod(F.xxhash64("text"), F.lit(2**63 - 1 - top))
+    named = docs.where(~apart).withColumn("doc_id", F.coalesce("doc_id", made))
+    kept = near_dedup.near_duplicates(named).where("kept").select("doc_id")
+    chosen = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return chosen.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id"))).select(*COLUMNS).union(docs.where(apart).select(*COLUMNS))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
