@@ -19,7 +19,7 @@ from .shared import text_batches
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match can only begin where its digits do, and takes whole parts
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[^0-9]+")
@@ -38,6 +38,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """Whether digits, however many, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """What a left-to-right search finds, from the @ signs outwards: the local part is the run of its characters that ends there."""
     done, at = 0, text.find("@")
@@ -55,7 +61,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in order."""
     found = [(s, 0, e) for s, e in _emails(text)]
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = _DIGIT.sub("", m.group()) if m.end() - m.start() <= 40 else ""
         if 12 <= len(digits) <= 19 and luhn(digits):
