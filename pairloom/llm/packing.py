@@ -15,6 +15,7 @@ from .shared import durable, parts
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_SALT = "_salt long"
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -72,6 +73,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
+        seen = 0
         for pdf in frames:
             got: list[tuple] = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -79,9 +81,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFram
                 got += [(doc_id, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), limit))]
             out = pd.DataFrame(got, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
+            out["_salt"] = np.arange(seen, seen + len(out))
+            seen += len(out)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"{PIECES}, {_SALT}")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limit: int = 1024) -> DataFrame:
@@ -89,13 +93,14 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limit: int = 1024)
 
     Whole pieces are sequences of their own. Of the others only the counts by length, at most limit - 1 rows, come
     to the driver, which lays out bins with best_two_fit. A piece gets its rank among those of its length in two
-    steps, by the counts of hashed groups and then within a group, so that one frequent length is spread; ranks map
+    steps, by the counts of hashed groups and then within a group, so that one frequent length is spread, and so are
+    repeated rows, by their number in the task that read them; ranks map
     to bins through a table of runs, whose size depends on `limit` alone. Null ids are kept, repeated rows are
     packed one by one, an empty text is the end id alone, and an empty table gives an empty table.
     """
     cut_up = durable(pieces(docs, tokenizer, end_id, limit), "pieces")
     groups = parts(cut_up.count(), 50_000, 16)
-    cut_up = cut_up.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    cut_up = cut_up.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(groups)).cast("int"))
     by_group = cut_up.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     counts = {int(r.length): int(r.n) for r in by_group.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     whole = counts.pop(limit, 0)
@@ -112,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, limit: int = 1024)
     key = table[:, 0] * (1 << 48) + table[:, 1]
     ahead = W.partitionBy("length").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
     offsets = by_group.select("length", "_g", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    ranked = cut_up.withColumn("_r", F.row_number().over(W.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = cut_up.withColumn("_r", F.row_number().over(W.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32", "_salt")))
     ranked = ranked.join(offsets, ["length", "_g"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_ahead") + F.col("_r") - 1).alias("_rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

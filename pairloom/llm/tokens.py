@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
@@ -10,10 +11,10 @@ from pathlib import Path
 
 @lru_cache(4)
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids for a vocabulary file, without special tokens.
+    """text -> ids, those of tokenizers' encode(text, add_special_tokens=False): a special token written out in a text is its one id.
 
-    A byte-level BPE .json whose ranks lie beside it as .tiktoken is read from the ranks: the ids are the same and
-    come several times as fast (tests compare the two).
+    A byte-level BPE .json whose ranks lie beside it as .tiktoken is read from the ranks and the file's list of special
+    tokens: the ids are the same and come several times as fast (tests compare the two).
     """
     ranks = Path(path).with_suffix(".tiktoken")
     if ranks.exists():
@@ -21,9 +22,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
-        return tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        special = {t["content"]: t["id"] for t in json.loads(Path(path).read_text())["added_tokens"]}
+        merges = {k: v for k, v in merges.items() if v not in special.values()}
+        encoding = tiktoken.Encoding(ranks.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
+        return lambda text: encoding.encode(text, allowed_special="all") if any(t in text for t in special) else encoding.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
