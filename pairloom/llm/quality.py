@@ -107,9 +107,12 @@ def fit(x: np.ndarray, y: np.ndarray, *, seed: int = 3, pairs: int = PAIRS, pena
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Ranking:
-    """Fits on at most `most` labelled rows whose fold is not 0."""
+    """Fits on at most `most` labelled ids whose fold is not 0, one text each; only their features come to the driver.
+
+    Of labels that repeat an id the smallest counts.
+    """
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(fold("id") != 0)
-    rows = rows.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = rows.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = text.join(F.broadcast(rows), "id")  # at most `most` pairs of numbers
 
@@ -118,7 +121,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for part in text_batches(pdf):
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "y": part["y"].to_numpy(), "x": list(features(part["text"].tolist()))})
 
-    got = joined.mapInPandas(run, "id long, y int, x array<double>").toPandas().sort_values("id", kind="stable")
+    # a row an id before anything is collected: of texts that repeat an id the one of the least features
+    one = joined.mapInPandas(run, "id long, y int, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("m"))
+    got = one.select("id", "m.y", "m.x").toPandas().sort_values("id", kind="stable")
     width = features([""]).shape[1]
     return fit(np.array(got["x"].tolist(), float).reshape(-1, width), got["y"].to_numpy(int))
 
