@@ -18,7 +18,11 @@ HELD = 1_000_000
 
 @lru_cache(2)
 def unigram_pieces(path: str) -> tuple[dict[bytes, float], int]:
-    """Log probability of each piece of a .tiktoken vocabulary, by Zipf's law over its ranks, and the longest length."""
+    """Log probability of each piece of a .tiktoken vocabulary, and the longest length.
+
+    The file has ranks, no probabilities: these follow Zipf's law over the ranks, so this is a stated unigram model,
+    not one trained on a corpus.
+    """
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
     norm = math.log(sum(1 / (r + 1) for r in ranks.values()))
     return {p: -math.log(r + 1) - norm for p, r in ranks.items()}, max(map(len, ranks))
@@ -27,9 +31,11 @@ def unigram_pieces(path: str) -> tuple[dict[bytes, float], int]:
 def trie_counts(words: list[bytes], pieces: dict[bytes, float], longest: int) -> dict[bytes, int]:
     """Tokens in the best segmentation of each word; ties go to fewer tokens.
 
-    Distinct words in byte order are the leaves of their trie in depth-first order, so the path to a word shares
-    its first nodes with the path to the word before it: scores and counts of those prefixes are kept, and only
-    nodes below the fork are computed. Memory is one path. A byte outside the vocabulary costs a fixed penalty.
+    Distinct words in byte order are the terminals of their trie in depth-first order, so the path to a word shares
+    its first nodes with the path to the word before it: forward scores and counts of those nodes are kept, and only
+    nodes below the fork are made. So each node of the trie of `words` is scored once, its terminals keep their
+    counts, and memory is one path, as nodes are dropped when the walk leaves them; prefixes are shared within one
+    call, that is a batch of a task. A byte outside the vocabulary costs a fixed penalty.
     """
     missing = min(pieces.values(), default=0.0) - 10
     out: dict[bytes, int] = {}
