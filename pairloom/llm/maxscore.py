@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import durable, parts
-from .vectors import best, clean, meet
+from .vectors import best, clean, meet, usual
 
 #: Rows of a shard, queries met with it at a time, rows between two updates of the threshold.
 SHARD, GROUP, STEP = 16_384, 1_024, 2_048
@@ -74,12 +74,12 @@ def top_inner(table: DataFrame, k: int = 5, every: int = 50, *, factor: int = 25
     are its terms, split at the running threshold into essential ones, which are traversed, and non-essential
     ones, which are probed for rows that may still get in. Shards' results are merged. Returns query_id, rank,
     vec_id, score; fewer rows for a query if there are fewer. Null vectors and ones that hold null or non-finite
-    numbers take no part, nor do null ids; rows repeating a query's id are not its candidates; ties go to smaller
-    ids; an empty table gives an empty table.
+    numbers take no part, nor do null ids; rows that repeat an id, queries or candidates, are one row, that of the
+    least vector; ties go to smaller ids; an empty table gives an empty table.
     """
     rows = durable(clean(table, id_col, vector_col).select("vec_id", F.transform("v", lambda x: F.floor(x * factor).cast("long")).alias("v")), "vectors")
-    count, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    rows = rows.where(F.size("v") == (width or 0))
+    count, width = usual(rows)
+    rows = rows.where(F.size("v") == width)
     shards = parts(count, SHARD)
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -93,11 +93,12 @@ def top_inner(table: DataFrame, k: int = 5, every: int = 50, *, factor: int = 25
     return best(found, k, F.col("score"))
 
 
-#: The same as one DuckDB statement (vectors of the greatest length take part).
+#: The same as one DuckDB statement.
 ORACLE_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c from embeddings
-           where vec_id is not null and embedding is not null and len(embedding) = (select max(len(embedding)) from embeddings)
-             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+with u as (select vec_id, min(embedding) as e from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
+v as (select vec_id, list_transform(e, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c from u
+      where len(e) = (select len(e) from u group by 1 order by count(*) desc, 1 desc limit 1)),
 p as (select q.vec_id as query_id, d.vec_id,
              cast(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * d.c[i])) as bigint) as score
       from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)

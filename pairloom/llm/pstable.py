@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -12,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import durable, parts
-from .vectors import best, clean, meet
-
-#: Tables, projections of each, cells kept along a projection (the outer ones take what lies beyond), and the width of
-#: a cell in deviations of the projection, which also scales the random shift. Many projections of few cells tell more
-#: than few of many: at like recall four of eight cells visited 0.84 of check_s, twelve of two 0.61.
-TABLES, PROJECTIONS, CELLS, WIDTH = 2, 12, 2, 0.2
-#: A query visits buckets of a table, likeliest first, until a neighbour is among them with this probability.
-SUCCESS = 0.75
+from .vectors import best, clean, meet, usual
+
+#: Tables, projections of each, the width of a cell in deviations of the projection, and cells kept along a
+#: projection (the outer two take what lies beyond).
+TABLES, PROJECTIONS, WIDTH, CELLS = 2, 6, 2.0, 6
+#: A query visits the buckets of a table that have rows, likeliest first, until a neighbour is among them with this
+#: probability and they hold AT_LEAST rows for each one asked for. With 1 it visits all: the result is exact.
+SUCCESS, AT_LEAST = 0.72, 8
 #: The index is fitted on at most so many rows, those of the smallest hashed ids; every row is indexed.
 FITTED_ON = 4_096
 SHARD, GROUP = 8_192, 1_024
@@ -76,24 +75,34 @@ class Index:
         h = np.floor(np.einsum("nd,tdk->ntk", self.lift(x), self.a) / self.width + self.shift).astype(np.int64)
         return (np.clip(h + CELLS // 2, 0, CELLS - 1) * CELLS ** np.arange(PROJECTIONS)).sum(axis=2)
 
-    def visits(self, q: np.ndarray) -> np.ndarray:
-        """For each query and table, which of all cells it visits: in order of estimated success, until SUCCESS."""
+    def visits(self, q: np.ndarray, occupied: list[tuple[np.ndarray, np.ndarray]], rows: int, success: float) -> list[np.ndarray]:
+        """For each table, which of its occupied buckets (numbers and counts) each query visits.
+
+        A bucket is the query's own with some of its cells moved. Its estimated success is the probability that a
+        neighbour's projections fall in all of its cells. Buckets are visited in that order.
+        """
         aimed = self.aim(q)
         share, rest = self.expected(aimed)
-        f = np.einsum("nd,tdk->ntk", aimed * share[:, None], self.a) / self.width + self.shift
         edges = np.arange(CELLS + 1) - CELLS // 2.0
         edges[0], edges[-1] = -np.inf, np.inf
-        spread = np.maximum(rest[:, None, None] / self.width, 1e-6)
-        cdf = _phi(np.clip((edges - f[..., None]) / spread[..., None], -30, 30))
-        p = np.diff(cdf, axis=-1)  # query, table, projection, cell along it
-        grid = np.array(list(itertools.product(range(CELLS), repeat=PROJECTIONS)))[:, ::-1]
-        prob = np.ones((*p.shape[:2], len(grid)))
-        for j in range(PROJECTIONS):
-            prob *= p[:, :, j][:, :, grid[:, j]]
-        order = np.argsort(-prob, axis=2, kind="stable")
-        total = np.cumsum(np.take_along_axis(prob, order, 2), axis=2)
-        out = np.zeros(prob.shape, bool)
-        np.put_along_axis(out, order, np.concatenate([np.ones((*p.shape[:2], 1), bool), total[..., :-1] < SUCCESS], axis=2), 2)
+        out = []
+        for t, (numbers, counts) in enumerate(occupied):
+            f = (aimed * share[:, None]) @ self.a[t] / self.width[t] + self.shift[t]
+            spread = np.maximum(rest[:, None] / self.width[t], 1e-6)
+            cdf = _phi(np.clip((edges - f[..., None]) / spread[..., None], -30, 30))
+            log = np.log(np.maximum(np.diff(cdf, axis=-1), 1e-30))  # query, projection, cell along it
+            along = numbers[:, None] // CELLS ** np.arange(PROJECTIONS) % CELLS
+            total = np.zeros((len(q), len(numbers)))
+            for j in range(PROJECTIONS):
+                total += log[:, j][:, along[:, j]]
+            order = np.argsort(-total, axis=1, kind="stable")
+            found = np.cumsum(np.take_along_axis(np.exp(total), order, 1), axis=1)
+            seen = np.cumsum(counts[order], axis=1)
+            before = lambda x: np.concatenate([np.zeros((len(q), 1)), x[:, :-1]], axis=1)
+            on = (before(found) < success) | (before(seen) < rows) | (success >= 1)
+            mask = np.zeros(on.shape, bool)
+            np.put_along_axis(mask, order, on, 1)
+            out.append(mask)
         return out
 
 
@@ -136,20 +145,22 @@ def _search(r: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def neighbours(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def neighbours(table: DataFrame, k: int = 20, every: int = 20, *, success: float = SUCCESS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows of the largest inner product found for each query (ids divisible by `every`): query_id, rank, vec_id, score.
 
-    Each table hashes a row to one of CELLS ** PROJECTIONS buckets by Gaussian (2-stable) projections. A query
-    orders all buckets by the probability that a neighbour as near as its own in the sample falls in, and visits the likeliest
-    until SUCCESS. Buckets of few rows share a shard, those of many are split over several by hash, so a bucket
-    holding a third of all rows is searched whole and spread. The rows found in any table are ranked by their
-    exact inner product. The number of buckets does not depend on the data, so their counts can go to the driver.
-    Null and zero vectors, ones with null or non-finite numbers, and null ids take no part; repeated ids count
-    once for a query; ties go to smaller ids; an empty table gives an empty table.
+    Each table hashes a row to a bucket by Gaussian (2-stable) projections, shifted and cut into cells of one width. A
+    query orders the occupied buckets, its own and those some cells away, by the probability that a neighbour as near
+    as its own in the sample falls in, and visits the likeliest until `success` (with 1 all: the exact result).
+    Buckets of few rows share a shard, those of many are split over several by hash, so a bucket holding a third of
+    all rows is searched whole and spread. The rows found in any table are ranked by their exact inner product. There
+    are at most CELLS ** PROJECTIONS buckets a table, whatever the data, so their counts can go to the driver.
+    Null and zero vectors, ones with null or non-finite numbers, and null ids take no part; rows that repeat an id
+    are one row, that of the least vector; ties go to smaller ids; an empty table gives an empty table.
     """
     rows = durable(clean(table, id_col, vector_col).where(F.exists("v", lambda x: x != 0)), "vectors")
-    count, width, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    rows = rows.where(F.size("v") == (width or 0))
+    count, width = usual(rows)
+    rows = rows.where(F.size("v") == width)
+    longest = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FITTED_ON).toPandas().sort_values("vec_id", kind="stable")
     index = Index(_matrix(sample["v"]).reshape(-1, width or 1), float(longest or 0), count, k)
 
@@ -177,6 +188,7 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str =
     where: dict[int, list[list]] = {t: [] for t in range(TABLES)}
     for t, cell, first, blocks in placed:
         where[t].append([cell, first, blocks])
+    occupied = [(np.array([c for c, _, _ in where[t]], np.int64), np.array([sizes[t, c] for c, _, _ in where[t]], np.int64)) for t in range(TABLES)]
     spark = table.sparkSession
     plan = spark.createDataFrame(placed or [(0, 0, 0, 1)], "t int, cell long, first int, blocks int")
     sharded = stored.join(F.broadcast(plan), ["t", "cell"]).select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int").alias("shard"))
@@ -185,15 +197,15 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, *, id_col: str =
         for pdf in frames:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
-                visits = index.visits(_matrix(part["v"]))
+                visits = index.visits(_matrix(part["v"]), occupied, AT_LEAST * (k + 1), success)
                 out = []
                 for i, (query, v) in enumerate(zip(part["vec_id"], part["v"], strict=True)):
                     to: dict[int, list[int]] = {}
-                    for t in range(TABLES):
-                        for cell, first, blocks in where[t]:
-                            if visits[i, t, cell]:
-                                for s in range(first, first + blocks):
-                                    to.setdefault(s, []).append(cell)
+                    for t in range(TABLES if success < 1 else 1):
+                        for at in np.flatnonzero(visits[t][i]).tolist():
+                            cell, first, blocks = where[t][at]
+                            for s in range(first, first + blocks):
+                                to.setdefault(s, []).append(cell)
                     out += [(query, v, s, cells) for s, cells in to.items()]
                 yield pd.DataFrame(out, columns=["query_id", "q", "shard", "cells"])
 

@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 
 
 def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, and a vector of finite numbers of the usual (greatest) length."""
+    """(vec_id, v), one row an id, of the rows that take part: an id and a vector of finite numbers.
+
+    Of rows that repeat an id the one of the least vector (by its first component that differs) stands for all. Where
+    lengths differ, the most frequent one takes part, the greater of equals.
+    """
     v = F.col(vector_col).cast("array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    return rows
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def usual(rows: DataFrame) -> tuple[int, int]:
+    """Rows of the most frequent length, and that length. A row a length comes to the driver."""
+    return max(((r.n, r.w) for r in rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()), default=(0, 0))
 
 
 def meet(rows: DataFrame, queries: DataFrame, groups: int, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
