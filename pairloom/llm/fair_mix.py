@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, durable
 
-#: About so many rows are sorted in one piece.
+#: About so many rows are sorted in one piece; from four times as many on a bucket is split by another hash.
 ROWS_A_BUCKET = 20_000
 
 
@@ -37,10 +37,12 @@ def fair_mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     Documents of a source are shuffled (by the MD5 of the id) and queue one after another, up to max_repeat
     rounds. A copy's virtual finish time is the source's cumulative size up to it over the source's target. All
     copies are sorted by that time over ranges of it, and the mix is the longest prefix within the total budget,
-    which is the size of all documents. Sources sorted by code point, null last, weigh `weights` in turn.
+    which is the size of all documents. Sources sorted by code point, null last, weigh `weights` in turn; their sizes,
+    a row a source, are laid out in one task.
 
     Both running totals are made in pieces (totals of pieces, then rows within a piece), so neither a hot source
-    nor the global order ever lands in one task. Ties in time go by source, MD5, then size. Null or empty text:
+    nor the global order ever lands in one task; a piece that rows of one id, or of none, fill is split by a hash of the
+    text (with `keep`) or of the place in the table. Ties in time go by source, MD5, then size. Null or empty text:
     size 0, taken 0. Null sources form one source. Repeated rows count one by one. An empty table gives an empty
     table. Columns: id, size, source_size, target, copies, taken, and those in `keep` (their names must not clash).
     """
@@ -49,14 +51,20 @@ def fair_mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("_src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("_key"),
+        (F.xxhash64(text_col) if keep else F.xxhash64(F.monotonically_increasing_id())).alias("_tie"),
     )
     if not keep:
         d = durable(d, "sized")  # texts are read once, for their sizes
-    sized = d.select("_src", "size", "_key") if not keep else durable(d.select("_src", "size", "_key"), "sized")
+    sized = d.select("_src", "size", "_key", "_tie") if not keep else durable(d.select("_src", "size", "_key", "_tie"), "sized")
     rows = sized.count()
     digits = max(2, math.ceil(math.log(max(2, rows / ROWS_A_BUCKET), 16)))
     ranges = max(16, 4 * math.ceil(max_repeat * rows / ROWS_A_BUCKET))
     sized, d = (x.withColumn("_bucket", F.substring("_key", 1, digits)) for x in (sized, d))
+    # buckets of rows that repeat an id, or have none: at most one for each 4 * ROWS_A_BUCKET rows
+    heavy = sized.groupBy("_src", "_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * ROWS_A_BUCKET).withColumn("_n", F.ceil(F.col("_n") / ROWS_A_BUCKET))
+    if not heavy.isEmpty():
+        piece = F.concat("_bucket", F.coalesce(F.format_string("-%09d", F.pmod("_tie", "_n")), F.lit("")))
+        sized, d = (x.join(F.broadcast(heavy), ["_src", "_bucket"], "left").withColumn("_bucket", piece).drop("_n") for x in (sized, d))
 
     sums = sized.groupBy("_src", "_bucket").agg(F.sum("size").alias("size"))
     targets = _targets(sums, weights, max_repeat)
