@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, mix64, parts, text_batches, word_hashes
+from .shared import durable, mix64, parts, release, text_batches, word_hashes
 
 #: Values kept of each set, and the least share of a union sketch that makes a pair worth confirming. A pair of
 #: similarity 0.75 shares 48 of 64 on average with a deviation of 3.5: under 29 has a chance of about 1e-7.
@@ -62,11 +62,11 @@ def sketched(docs: DataFrame, words: int, kept: int) -> DataFrame:
                 sets = shingle_sets(part["text"].tolist(), words)
                 digests = [_digest(s) for s in sets]
                 yield pd.DataFrame({
-                    "id": part["id"].to_numpy(), "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests],
+                    "id": part["id"].to_numpy(), "mark": part["mark"].to_numpy(), "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests],
                     "sketch": [s[:kept].view(np.int64) for s in sets],
                 })
 
-    return docs.mapInPandas(run, "id string, n long, d1 long, d2 long, sketch array<long>")
+    return docs.mapInPandas(run, "id string, mark long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _need(n: Column, share: float) -> Column:
@@ -131,59 +131,72 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192)
     return out.astype(np.int64)
 
 
-def _links_across(left: pd.DataFrame, right: pd.DataFrame, words: int, per_cent: int, share: float) -> list[tuple[int, int]]:
-    """A link for each two components that whole sets on either side connect. Sketches tell which sets to look at."""
+def _may(left: pd.DataFrame, right: pd.DataFrame, per_cent: int, share: float) -> np.ndarray:
+    """Which members of two components may be linked, by sizes and sketches."""
     sk = [[np.asarray(s).view(np.uint64) for s in f["sketch"]] for f in (left, right)]
     n, k, comp = [f["n"].to_numpy() for f in (left, right)], [np.array([len(s) for s in x]) for x in sk], [f["comp"].to_numpy() for f in (left, right)]
     may = _overlaps(*sk) >= np.ceil(share * np.maximum.outer(*k))
-    may &= (comp[0][:, None] != comp[1][None, :]) & (100 * np.minimum.outer(*n) >= per_cent * np.maximum.outer(*n))
+    return may & (comp[0][:, None] != comp[1][None, :]) & (100 * np.minimum.outer(*n) >= per_cent * np.maximum.outer(*n))
+
+
+def _links_across(left: pd.DataFrame, right: pd.DataFrame, words: int, per_cent: int, share: float) -> list[tuple[int, int]]:
+    """A pair for each two components that whole sets on either side connect. Sketches tell which sets to look at."""
+    may = _may(left, right, per_cent, share)
     rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
     if not len(rows):
         return []
-    sets = [shingle_sets(f["text"].iloc[at].tolist(), words) for f, at in ((left, rows), (right, cols))]
-    both = _overlaps(*sets)
+    n, comp = [f["n"].to_numpy() for f in (left, right)], [f["comp"].to_numpy() for f in (left, right)]
+    both = _overlaps(*[shingle_sets(f["text"].iloc[at].tolist(), words) for f, at in ((left, rows), (right, cols))])
     union = np.add.outer(n[0][rows], n[1][cols]) - both
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    for a, b in zip(*np.nonzero((100 * both >= per_cent * union) & may[np.ix_(rows, cols)]), strict=True):
-        i, j = rows[a], cols[b]
-        found.setdefault((comp[0][i], comp[1][j]), (int(left["node"].iloc[i]), int(right["node"].iloc[j])))
-    return list(found.values())
-
-
-def _across(members: DataFrame, words: int, per_cent: int, share: float) -> DataFrame:
-    """Links between components of a cluster: small clusters whole, many to a task; large ones a block against a block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, own in pdf.groupby("cluster", sort=False):
-            i, j = own["i"].iloc[0], own["j"].iloc[0]
-            left, right = (own, own) if i == j else (own[own["b"] == i], own[own["b"] == j])
-            found += _links_across(left, right, words, per_cent, share)
+    linked = np.nonzero((100 * both >= per_cent * union) & may[np.ix_(rows, cols)])
+    return list({(int(comp[0][rows[a]]), int(comp[1][cols[b]])) for a, b in zip(*linked, strict=True)})
+
+
+def _sides(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """The two blocks of each cell of a task; a small group is one block beside itself."""
+    for _, own in pdf.groupby(["g", "i", "j"], sort=False):
+        i, j = own["i"].iloc[0], own["j"].iloc[0]
+        yield (own, own) if i == j else (own[own["b"] == i], own[own["b"] == j])
+
+
+_CELL = "g long, i long, j long, task long, b long, node long, comp long, n long, sketch array<long>"
+
+
+def _across(members: DataFrame, texts: DataFrame, words: int, per_cent: int, share: float) -> DataFrame:
+    """Links (u, v) of components within groups g of members: small groups whole, many to a task; large ones a block against a block.
+
+    Sketches meet first; texts go only with those members that may have a link in their cell.
+    """
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for left, right in _sides(pdf):
+            may = _may(left, right, per_cent, share)
+            kept += [left[may.any(axis=1)]] if left is right else [left[may.any(axis=1)], right[may.any(axis=0)]]
+        return pd.concat(kept)[[c.split()[0] for c in _CELL.split(", ")]]
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [x for left, right in _sides(pdf) for x in _links_across(left, right, words, per_cent, share)]
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
+    by_group = members.groupBy("g").agg(F.count("*").alias("members"))
+    tasks = parts(members.count(), BLOCK)
     nb = F.ceil(F.col("members") / BLOCK).cast("long")
-    blocked = members.withColumn("b", F.pmod(F.xxhash64("node"), nb)).withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
-    cells = blocked.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "comp", "n", "sketch", "text", "task")
-    return cells.groupBy("task", F.when(F.col("i") + F.col("j") > 0, F.col("cluster")), "i", "j").applyInPandas(run, "u long, v long").distinct()
+    blocked = members.join(by_group, "g").withColumn("b", F.pmod(F.xxhash64("node"), nb)).withColumn("o", F.explode(F.sequence(F.lit(0), nb - 1)))
+    i, j = F.least("b", "o"), F.greatest("b", "o")
+    task = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.xxhash64("g", i, j))
+    cells = blocked.select("g", i.alias("i"), j.alias("j"), task.alias("task"), "b", "node", "comp", "n", "sketch")
+    sifted = durable(cells.groupBy("task").applyInPandas(sift, _CELL), "sifted")
+    return sifted.join(texts, "node").groupBy("task").applyInPandas(confirm, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int = KEPT, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents linked by sets with 100 * intersection >= per_cent * union.
-
-    One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept. One 64-bit hash
-    serves shingles and sketches. Documents of one set form one node. Values of the sketches that several nodes
-    hold make inverted lists; each node enters only the lists of its rarest values, as many as a pair similar
-    enough in sketch must share at least one of. First each list links its members to its most typical one; what the
-    union sketch lets pass is confirmed on the whole sets. Then clusters of lists that still span several components
-    are compared across components, in blocks, and give one confirmed link for two components. So a group of copies
-    or near copies gives rows in proportion to its size, a passage that many documents share stays out of their
-    rarest values, and no link is dropped.
+def grouped(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int = KEPT, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and node of every row; rows of one group have one node, rows of size 0 none.
 
-    Null, empty and blank texts have size 0 and are linked with nothing, not even with each other; rows of null id
-    are kept and take no part. Rows that repeat an id are separate documents. An empty table gives an empty table.
+    mark: a long that comes back with its row, to tell rows of one id apart. See near_duplicates.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = durable(sketched(source.select(F.col("doc_id").cast("string").alias("id"), "text"), words, kept), "sketches")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
+    got = durable(sketched(source.select(F.col("doc_id").cast("string").alias("id"), "text", "mark"), words, kept), "sketches")
     got = got.withColumn("doc_id", F.col("id").cast("long")).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("d1", "d2", "n")))
     nodes = got.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = durable(nodes, "nodes")
@@ -197,32 +210,53 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept
     listed = durable(listed, "listed")
     lists = listed.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node"))["node"].alias("pivot")).where("members > 1")
     star = listed.join(lists, "value").where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    star = durable(star, "star")
+    star = durable(star, "stars")
 
     sketches = nodes.select("node", "n", "sketch")
     near_size = F.lit(100) * F.least("n", "m") >= F.lit(per_cent) * F.greatest("n", "m")
     sized = star.join(nodes.select(F.col("node").alias("u"), "n"), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v").where(near_size).select("u", "v")
-    texts = _texts(source, nodes, star.select(F.col("u").alias("node")).union(star.select("v")), words)
-    first = durable(confirmed(_passing(sized, sketches, kept, share), texts, words, per_cent), "links")
-    comp = components(first)
-    clusters = components(star).select("node", F.col("label").alias("cluster"))
-    member = clusters.join(comp.select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    member = durable(member, "members")
-    unsettled = member.groupBy("cluster").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster", "members")
-    unsettled = durable(unsettled, "unsettled")
-    tasks = parts(unsettled.agg(F.sum("members")).first()[0] or 0, BLOCK, 1)
-    unsettled = unsettled.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
-    more = durable(_across(member.join(unsettled, "cluster").join(sketches, "node").join(texts, "node"), words, per_cent, share), "across")
-    if more.isEmpty():
-        final = comp
-    else:
-        final = components(first.union(more))
-    final = durable(final, "components")
+    texts = _texts(source.select("doc_id", "text"), nodes, star.select(F.col("u").alias("node")).union(star.select("v")), words)
+    comp = components(confirmed(_passing(sized, sketches, kept, share), texts, words, per_cent))
+
+    # lists that still hold several components: their members, in the clusters that such lists connect
+    placed = listed.select("node", "value").join(comp.select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    spans = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("listed")).where("lo != hi")
+    open_lists = durable(placed.join(spans, "value").select("value", "node", "comp", "lo", "listed"), "open")
+    clusters = components(open_lists.select(F.col("comp").alias("u"), F.col("lo").alias("v"))).select(F.col("node").alias("comp"), F.col("label").alias("cluster"))
+    member = durable(open_lists.join(clusters, "comp"), "members")
+    # a small cluster meets whole; of a large one, which may be a long chain, each list by itself
+    size = member.groupBy("cluster").agg(F.count_distinct("node").alias("nodes"))
+    member = member.join(size, "cluster").select(F.when(F.col("nodes") <= BLOCK, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", "value")).alias("g"), "node", "comp").distinct()
+    more = durable(_across(member.join(sketches, "node"), texts, words, per_cent, share), "across")
+    merged = components(more).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    final = durable(comp.union(more.select("u", "u")).union(more.select("v", "v")).distinct().join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "components")
+    release(listed, star, texts, open_lists, more)
     smallest = final.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
-    by_node = nodes.select("node", F.col("doc_id").alias("first")).join(final.join(smallest, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "first").alias("component"))
-    out = got.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node, "node", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    by_node = nodes.select("node", F.col("doc_id").alias("first")).join(final.join(smallest, "label").select("node", "label", "component"), "node", "left")
+    by_node = by_node.select("node", F.coalesce("component", "first").alias("component"), F.coalesce("label", "node").alias("label"))
+    out = got.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(by_node, "node", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("label", "node").alias("node"))
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int = KEPT, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents linked by sets with 100 * intersection >= per_cent * union.
+
+    One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable), kept. One 64-bit hash
+    serves shingles and sketches. Documents of one set form one node. Values of the sketches that several nodes
+    hold make inverted lists; each node enters only the lists of its rarest values, as many as a pair similar
+    enough in sketch must share at least one of. First each list links its members to its most typical one; what the
+    union sketch lets pass is confirmed on the whole sets. Then members of the lists that still span several components
+    meet across components, sketches first, by clusters of such lists or, where these are large, list by list and
+    block by block; that gives one confirmed link for two components. So a group of copies or near copies, or a long
+    chain of them, gives rows in proportion to its size, a passage that many documents share stays out of their
+    rarest values, and no link is dropped. Only a list of more than BLOCK members that are in several components
+    meets itself in blocks.
+
+    Null, empty and blank texts have size 0 and are linked with nothing, not even with each other; rows of null id
+    are kept and take no part. Rows that repeat an id are separate documents. An empty table gives an empty table.
+    """
+    out = grouped(docs, words=words, per_cent=per_cent, kept=kept, share=share, id_col=id_col, text_col=text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _texts(source: DataFrame, nodes: DataFrame, listed: DataFrame, words: int) -> DataFrame:

@@ -23,11 +23,13 @@ _BLOCK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that all executors share, spark.checkpoint.dir. In local mode alone, as in tests, a temporary one stands in."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.pairloom.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
         spark.conf.set("spark.pairloom.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +43,16 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/pairloom/" in path:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def parts(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_part))
 
