@@ -9,6 +9,13 @@ from dataclasses import dataclass
 class EngineConfig:
     """Defaults of selection, risk, sizing and simulation. Fixtures lower what needs long histories."""
 
+    # universe
+    least_rows: int = 300
+    least_volume: float = 2.5e6
+    least_close: float = 5.0
+    least_universe: int = 30
+    fallback_rows: int = 200
+    fallback_top: int = 100
     # selection
     min_common: int = 420
     min_correlation: float = 0.25

@@ -96,6 +96,33 @@ def cointegration_p(p1: np.ndarray, p2: np.ndarray, least: int) -> float:
     return min(engle_granger_p(a, b), engle_granger_p(b, a))
 
 
+def clean_correlation(p1: np.ndarray, p2: np.ndarray, least: int) -> float:
+    """Correlation of returns without outliers beyond four deviations; 0 where too little is left."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r1, r2 = p1[1:] / p1[:-1] - 1, p2[1:] / p2[:-1] - 1
+        on = np.isfinite(r1) & np.isfinite(r2)
+        r1, r2 = r1[on], r2[on]
+        if len(r1) < max(least, 2):
+            return 0.0
+        ok = (np.abs(r1 - r1.mean()) / r1.std() < 4) & (np.abs(r2 - r2.mean()) / r2.std() < 4)
+        if ok.sum() >= 0.6 * len(r1) and ok.sum() >= 100:
+            r1, r2 = r1[ok], r2[ok]
+        c = float(np.corrcoef(r1, r2)[0, 1])
+    return c if math.isfinite(c) else 0.0
+
+
+def half_life(p1: np.ndarray, p2: np.ndarray) -> float:
+    """Half-life of the log spread by its regression on the day before, within 1 to 999."""
+    s = np.log(p1 + 1e-8) - np.log(p2 + 1e-8)
+    y, x = s[1:], s[:-1]
+    on = np.isfinite(x) & np.isfinite(y)
+    x, y = x[on], y[on]
+    if len(s) < 50 or len(x) < 2 or not x.var() > 0:
+        return 999.0
+    b = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    return min(999.0, max(1.0, -math.log(2) / math.log(b))) if 0 < b < 1 else 999.0
+
+
 def kalman(lp1: np.ndarray, lp2: np.ndarray, delta: float = 1e-5, noise: float = 0.001) -> np.ndarray:
     """Residuals of a random-walk hedge ratio. The process noise uses the variance of the whole sample."""
     drift = delta / (1 - delta) * lp2.var()

@@ -93,22 +93,54 @@ def walk_summary(w: DataFrame) -> DataFrame:
     return w.agg(F.count("*").alias("windows"), F.count_if(F.col("total") > 0).alias("profitable"), F.avg("total").alias("mean"), F.element_at(m, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.avg("sharpe").alias("sharpe"), (F.exp(F.sum(F.ln(1 + F.col("total")))) - 1).alias("stitched"))
 
 
-def fund_replay(t: DataFrame) -> DataFrame:
+def run_summary(daily: DataFrame, trades: DataFrame, capital: float = 1e8) -> DataFrame:
+    """backtest_summary and trade_summary side by side, with costs, averages by trade, and counts by day: one row.
+
+    trades: net_pnl_pct, cost_pct, strength, quality, feature_quality, d.
+    """
+    t = trades.withColumn("_c", F.col("cost_pct") * capital)
+    a = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    more = t.agg(F.coalesce(F.sum("_c"), F.lit(0.0)).alias("costs"), (F.coalesce(F.sum("_c"), F.lit(0.0)) / capital).alias("cost_impact"), a("_c").alias("cost_per_trade"), a("cost_pct").alias("cost_pct_per_trade"), a("strength").alias("mean_strength"), a("quality").alias("mean_quality"), F.count_if(F.col("feature_quality") > 0.7).alias("high_quality"), a("net_pnl_pct").alias("mean_trade"))
+    most = trades.groupBy("d").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most_daily"))
+    one = backtest_summary(daily).crossJoin(trade_summary(trades)).crossJoin(more).crossJoin(most)  # a row each
+    return one.withColumn("trades_per_day", F.coalesce(F.try_divide("trades", "days"), F.lit(0.0)))
+
+
+def stitched(walked: DataFrame, windows: DataFrame, since: str | None = None) -> DataFrame:
+    """d, pnl of the test periods one after another, of windows whose test starts at `since` or later."""
+    w = windows if since is None else windows.where(F.col("test_start") >= F.lit(since).cast("date"))
+    return walked.join(F.broadcast(w.select("window")), "window", "left_semi").select("d", "pnl")  # a row a quarter
+
+
+def fund_replay(t: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """trades (d, zscore, spread_return, holding_days, short_sym) replayed under each profile: net fractions by exit date, kill switch.
 
-    The trades meet five profiles; sums by profile and exit date come before the running product.
+    The trades meet five profiles; sums by profile and exit date come before the running product. days: the trading
+    calendar (d). The Sharpe ratio and the annualised return count all its days up to the stop, with 0 where nothing
+    exits; without a calendar they count exit days alone.
     """
     equity = 1e8
     x = t.crossJoin(F.broadcast(costs.profiles(t.sparkSession)))  # five rows
     x = x.withColumn("fraction", F.least(F.col("base") * F.least(F.abs("zscore") / 2.3, F.lit(2.0)), F.col("most"))).withColumn("value", F.col("fraction") * equity)
     x = costs.profile_costs(x).withColumn("net", F.col("spread_return") * F.col("fraction") - F.col("cost") / equity)
     x = x.withColumn("d", F.date_add("d", F.greatest(F.lit(1), F.col("holding_days"))))
-    day = x.groupBy("profile", "dd_limit", "d").agg(F.sum("net").alias("pnl"), F.count("*").alias("trades"), F.sum("cost").alias("cost"))
+    net = F.col("net")
+    day = x.groupBy("profile", "dd_limit", "d").agg(F.sum(net).alias("pnl"), F.count("*").alias("trades"), F.sum("cost").alias("cost"), F.count_if(net > 0).alias("wins"), F.coalesce(F.sum(F.when(net > 0, net)), F.lit(0.0)).alias("won"), F.coalesce(F.sum(F.when(net < 0, -net)), F.lit(0.0)).alias("lost"))
     w = W.partitionBy("profile").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     day = day.withColumn("value", running(F.greatest(F.col("pnl"), F.lit(-0.999999)), w)).withColumn("dd", 1 - F.col("value") / F.greatest(F.lit(1.0), F.max("value").over(w)))
     stop = day.where("dd >= dd_limit").groupBy("profile").agg(F.min("d").alias("stop"))
     live = day.join(F.broadcast(stop), "profile", "left").where("stop is null or d <= stop")  # at most a row a profile
-    return live.groupBy("profile").agg(F.sum("trades").alias("trades"), (F.max_by("value", "d") - 1).alias("total"), F.max("dd").alias("max_drawdown"), F.sum("cost").alias("cost"), (F.avg("pnl") / (F.stddev_pop("pnl") + 1e-10) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.first("stop").isNotNull().alias("stopped"))
+    total = live.groupBy("profile").agg(
+        F.sum("trades").alias("trades"), (F.max_by("value", "d") - 1).alias("total"), F.max("dd").alias("max_drawdown"), F.sum("cost").alias("cost"), F.try_divide(F.sum("wins"), F.sum("trades")).alias("win_rate"),
+        F.when(F.sum("lost") > 0, F.sum("won") / F.sum("lost")).otherwise(0.0).alias("profit_factor"), F.first("stop").alias("stop"),
+    )
+    exits = live.select("profile", "d", "pnl")
+    if days is not None:
+        spans = days.select("d").distinct().crossJoin(F.broadcast(total.select("profile", "stop"))).where("stop is null or d <= stop")  # five rows
+        exits = spans.join(exits, ["profile", "d"], "left").select("profile", "d", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
+    of = exits.groupBy("profile").agg(F.when(F.count("*") > 1, F.avg("pnl") / (F.stddev_pop("pnl") + 1e-10) * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"), F.count("*").alias("days"))
+    out = total.join(of, "profile", "left").withColumn("annualised", F.col("total") * 252 / F.greatest(F.col("days"), F.lit(1)))
+    return out.select("profile", "trades", "total", "annualised", "max_drawdown", "cost", "win_rate", "profit_factor", "sharpe", "days", F.col("stop").isNotNull().alias("stopped"))
 
 
 def losing_run(daily: DataFrame, low: float = -0.008, high: float = 0.003, most: int = 5) -> DataFrame:

@@ -40,15 +40,25 @@ def deflated_benchmark(n: int, trials: int) -> float:
     return math.sqrt(252 / n) * best / math.sqrt(252)
 
 
-def report(daily: DataFrame, trials: int = 27) -> DataFrame:
-    """One row: Sharpe, its probability of being above 0, the deflated one."""
-    m = moments(daily).first()
-    if not m.n or m.n < 4 or not m.sd:
-        rows = [(int(m.n or 0), 0.0, None, None)]
-    else:
+def _battery(daily: DataFrame, trials: int, draws: int) -> list[tuple[str, float | None]]:
+    m, h, b = moments(daily).first(), hac_t(daily).first(), bootstrap_sharpe(daily, draws=draws).first()
+    out = [("days", float(m.n)), ("sharpe", float(m.sharpe or 0.0)), ("hac_t", h.t), ("hac_p", h.p), ("hac_lags", float(h.lags)), ("sharpe_low", b.low), ("sharpe_high", b.high)]
+    if m.n and m.n >= 4 and m.sd:
         s = m.sharpe / math.sqrt(252)
-        rows = [(int(m.n), float(m.sharpe), probabilistic_sharpe(m.n, s, m.skew, m.kurt), probabilistic_sharpe(m.n, s, m.skew, m.kurt, deflated_benchmark(m.n, trials)))]
-    return daily.sparkSession.createDataFrame(rows, "n long, sharpe double, psr double, dsr double")
+        out += [("psr", probabilistic_sharpe(m.n, s, m.skew, m.kurt))]
+        if trials > 1:
+            out += [("dsr", probabilistic_sharpe(m.n, s, m.skew, m.kurt, deflated_benchmark(m.n, trials))), ("dsr_benchmark", deflated_benchmark(m.n, trials) * math.sqrt(252))]
+    return out
+
+
+def report(daily: DataFrame, oos: DataFrame | None = None, windows: list[float] | None = None, *, trials: int = 27, draws: int = 5000) -> DataFrame:
+    """section, measure, value: the battery of tests of the main series and of the stitched one (if over two days), and the test of window returns."""
+    rows = [("main", k, v) for k, v in _battery(daily, trials, draws)]
+    if oos is not None and oos.limit(3).count() > 2:
+        rows += [("oos_daily", k, v) for k, v in _battery(oos, trials, draws)]
+    if windows is not None and len(windows) >= 2:
+        rows += [("oos_windows", c.split()[0], None if v is None else float(v)) for c, v in zip(WINDOW_TEST.split(", "), window_test(windows), strict=True)]
+    return daily.sparkSession.createDataFrame(rows, "section string, measure string, value double")
 
 
 def hac_t(daily: DataFrame) -> DataFrame:
@@ -61,16 +71,38 @@ def hac_t(daily: DataFrame) -> DataFrame:
     var = F.sum(F.col("e") * F.col("e")) / F.count("*")
     for k in range(1, most + 1):
         var += 2 * (1 - k / (most + 1)) * F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0)) / F.count("*")
-    return x.agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), (F.avg("pnl") / F.sqrt(F.greatest(var / F.count("*"), F.lit(1e-18)))).alias("t"))
+    out = x.agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), (F.avg("pnl") / F.sqrt(F.greatest(var / F.count("*"), F.lit(1e-18)))).alias("t"))
+    enough = F.col("n") >= 3
+    out = out.withColumns({"t": F.when(enough, F.col("t")).otherwise(0.0), "lags": F.when(enough, F.lit(most)).otherwise(0)})
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series) -> pd.Series:  # of one row
+        return t.map(lambda v: 2 * (1 - NORMAL.cdf(abs(v))))
+
+    return out.withColumn("p", p("t"))
+
+
+def bootstrap_mean(values: list[float], *, draws: int = 5000, alpha: float = 0.05, seed: int = 42) -> tuple[float | None, float | None]:
+    """Bootstrap interval of the mean of a few numbers."""
+    v = np.asarray(values, float)
+    if len(v) < 2:
+        return None, None
+    means = v[np.random.default_rng(seed).integers(0, len(v), (draws, len(v)))].mean(axis=1)
+    return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
+
+
+WINDOW_TEST = "n int, mean double, sd double, t double, p double, positive int, low double, high double"
 
 
-def window_test(values: list[float]) -> tuple[float, float, float]:
-    """Mean, t and two-sided p of a few window returns."""
+def window_test(values: list[float]) -> tuple:
+    """n, mean, deviation, t, two-sided p, how many are positive, and the bootstrap interval of the mean of a few window returns."""
     v = np.asarray(values, float)
-    if len(v) < 2 or v.std(ddof=1) == 0:
-        return (float(v.mean()) if len(v) else 0.0, 0.0, 1.0)
-    t = float(v.mean() / (v.std(ddof=1) / math.sqrt(len(v))))
-    return float(v.mean()), t, t_two_sided(t, len(v) - 1)
+    n, up = len(v), int((v > 0).sum())
+    if n < 2:
+        return n, (float(v.mean()) if n else 0.0), None, 0.0, 1.0, up, None, None
+    sd = float(v.std(ddof=1))
+    t = float(v.mean() / (sd / math.sqrt(n))) if sd > 0 else 0.0
+    return n, float(v.mean()), sd, t, t_two_sided(t, n - 1) if sd > 0 else 1.0, up, *bootstrap_mean(values)
 
 
 def bootstrap_sharpe(daily: DataFrame, *, block: int = 10, draws: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:

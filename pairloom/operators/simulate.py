@@ -212,10 +212,11 @@ def fold(cand: pd.DataFrame, days: pd.DataFrame, config: EngineConfig = CONFIG,
 
 
 DAILY = "window int, d date, pnl double, value double, trades int, exposure double"
+BOTH = f"kind string, {TRADES}, pnl double, value double, day_trades int, exposure double"
 
 
 def simulate(cand: DataFrame, days: DataFrame, windows: DataFrame | None = None, *, result: str = "trades", config: EngineConfig = CONFIG) -> DataFrame:
-    """Trades or daily results. With windows (window, test_start, test_end) each runs apart, in parallel, from a fresh state.
+    """Trades, daily results, or both as rows of a kind from one fold (see split). With windows (window, test_start, test_end) each runs apart, in parallel, from a fresh state.
 
     days: (d, scale). One fold a window sees only its candidates, a few rows a day: the state is sequential, the rest is
     not. The hard stop counts days of the window; fills and exits beyond its end do not happen.
@@ -229,9 +230,21 @@ def simulate(cand: DataFrame, days: DataFrame, windows: DataFrame | None = None,
     d = hard_stop(d, config.stop_days, config.stop_share, by=("window",))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return fold(a.head(0), b, config)[result == "daily"]
-        return fold(a, b, config, int(b["window"].iloc[0]))[result == "daily"]
+        found = fold(a, b, config, int(b["window"].iloc[0])) if len(b) else fold(a.head(0), b, config)
+        if result != "both":
+            return found[result == "daily"]
+        out = pd.concat([x.assign(kind=k) for k, x in zip(("trade", "day"), found, strict=True) if len(x)] or [pd.DataFrame()])
+        out = out.rename(columns={"trades": "day_trades"}).reindex(columns=[x.split()[0] for x in BOTH.split(", ")]).astype({"holding_days": "Int64", "day_trades": "Int64"})
+        named = [x.split()[0] for x in BOTH.split(", ") if x.split()[1] in ("date", "string")]
+        out[named] = out[named].astype(object).where(out[named].notna(), None)
+        return out
 
     c, d = c.toDF(*c.columns), d.toDF(*d.columns)  # both come from one calendar
-    return c.groupBy("window").cogroup(d.groupBy("window")).applyInPandas(run, TRADES if result == "trades" else DAILY)
+    return c.groupBy("window").cogroup(d.groupBy("window")).applyInPandas(run, {"trades": TRADES, "daily": DAILY, "both": BOTH}[result])
+
+
+def split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades and daily results of simulate(..., result="both")."""
+    names = lambda schema: [x.split()[0] for x in schema.split(", ")]
+    trades, days = both.where("kind = 'trade'").select(*names(TRADES)), both.where("kind = 'day'").withColumnRenamed("day_trades", "trades")
+    return trades, days.select(*names(DAILY))

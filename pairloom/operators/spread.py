@@ -18,12 +18,19 @@ def by_pair() -> W:
 
 
 def kalman_spread(pairs: DataFrame, least: int = 100) -> DataFrame:
-    """s1, s2, d, p1, p2, s, beta: posterior residual and the hedge ratio it implies, folded pair by pair."""
+    """s1, s2, d, p1, p2, s, beta: posterior residual and the hedge ratio it implies, folded pair by pair.
+
+    Missing prices are filled forward, then back; a pair with over 10 % of either leg missing gives no rows.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d", kind="stable")
         if len(pdf) < least:
             return pdf.assign(s=0.0).head(0)
+        legs = pdf[["p1", "p2"]].astype(float)
+        if (legs.isna().mean() > 0.1).any():
+            return pdf.assign(s=0.0).head(0)
+        pdf[["p1", "p2"]] = legs.ffill().bfill()
         a, b = np.log(pdf["p1"].to_numpy(float) + 1e-8), np.log(pdf["p2"].to_numpy(float) + 1e-8)
         return pdf.assign(s=numeric.kalman(a, b))
 

@@ -147,8 +147,14 @@ def exit_search(spark, sf):
     return SP.exits(SP.expanding_z(_spread(spark, sf))).select("s1", "s2", "entry_d", R("z0", 5), "exit_d", F.col("held").cast("long").alias("held"))
 
 
-_PATHS = BARS + """, paths as (select sym, d, close / first_value(close) over (partition by sym order by d) as p from bars), pj as (select a.sym as s1, b.sym as s2, a.p - b.p as x from paths a join paths b on a.d = b.d and a.sym < b.sym),
-ssd as (select s1, s2, sum(x * x) as ssd from pj group by 1, 2 having stddev_pop(x) >= 0.005)"""
+#: Formation up to the end of 1996: wide enough symbols on all its days, gaps filled forward, then back, over the first close.
+_FORM = BARS + """, fb as (select * from bars where d <= date '1996-12-31'), days as (select distinct d from fb),
+wide as (select sym from fb group by 1 having count(*) > 0.9 * (select count(*) from days) order by sym limit 200),
+grid as (select w.sym, c.d, b.close from wide w cross join days c left join fb b on b.sym = w.sym and b.d = c.d),
+flat as (select sym, d, coalesce(last_value(close ignore nulls) over (partition by sym order by d rows between unbounded preceding and current row), first_value(close ignore nulls) over (partition by sym order by d rows between current row and unbounded following)) as p from grid),
+norm as (select sym, d, p / first_value(p) over (partition by sym order by d) as p from flat),
+ssd as (select a.sym as s1, b.sym as s2, sum((a.p - b.p) * (a.p - b.p)) as ssd from norm a join norm b on a.d = b.d and a.sym < b.sym group by 1, 2 having stddev_pop(a.p - b.p) >= 0.005),
+picked as (select s1, s2, ssd from ssd order by ssd.ssd, s1, s2 limit 20)"""
 
 
 def _paths(spark, sf):
@@ -156,9 +162,11 @@ def _paths(spark, sf):
     return P.bars_brand_week(spark, sf).select("sym", "d", (F.col("close") / first).alias("close"))
 
 
-@query(f"with {_PATHS} select s1, s2, round(ssd, 5) as ssd from ssd order by ssd.ssd, s1, s2 limit 20")
+@query(f"with {_FORM} select s1, s2, round(ssd, 5) as ssd from picked")
 def distance_pairs(spark, sf):
-    return OP.spread_distances(OP.align(_paths(spark, sf))).orderBy("ssd", "s1", "s2").limit(20).select("s1", "s2", R("ssd", 5))
+    from pairloom.operators.baselines import distance_pairs as pick
+
+    return pick(P.bars_brand_week(spark, sf), "1996-12-31").select("s1", "s2", R("ssd", 5))
 
 
 @query("""with t as (select o_orderkey, ((o_orderkey * 7919) % 9973 + 1) / 9974.0::double * ((o_orderkey * 31) % 11 + 1) / 11.0::double as p from orders), k as (select p, row_number() over (order by p, o_orderkey) as k, count(*) over () as m from t)
@@ -190,9 +198,13 @@ def asof_schedule(spark, sf):
     return as_of(days.withColumn("sym", F.lit("")), s, "resel").crossJoin(F.broadcast(first)).select("d", F.coalesce("resel", "first").alias("resel"))  # one row
 
 
+def _all(spark, sf):
+    return P.bars_brand_week(spark, sf), all_pairs(spark, sf)
+
+
 @query()
 def eg_cointegration(spark, sf):
-    return OP.cointegration(_pairs(spark, sf), 250)
+    return OP.cointegration(*_all(spark, sf), 250)
 
 
 @query()
@@ -200,15 +212,28 @@ def pca_residuals(spark, sf):
     return OP.factor_residuals(P.bars_brand_week(spark, sf))
 
 
+@query()
+def pair_screen(spark, sf):
+    """Every pair of enough history, with correlation, p-value and half-life."""
+    return OP.screen(P.bars_brand_week(spark, sf), WEEKLY)
+
+
 @query()
 def pair_selection(spark, sf):
     return OP.select_pairs(P.bars_brand_week(spark, sf), WEEKLY)
 
 
 @query()
-def pair_schedule(spark, sf):
+def selection_fdr(spark, sf):
+    """How many of the screened pairs survive control of the false discovery rate, beside those selected."""
     bars = P.bars_brand_week(spark, sf)
-    pool = OP.align(bars).select("s1", "s2").distinct()
+    screened = OP.screen(bars.join(OP.universe(bars, WEEKLY), "sym", "left_semi"), WEEKLY)
+    return OP.fdr(screened, OP.select_pairs(bars, WEEKLY, screened=screened))
+
+
+@query()
+def pair_schedule(spark, sf):
+    bars, pool = _all(spark, sf)
     return OP.pair_schedule(bars, pool, every=52, window_days=1460, least=100, short_days=728)
 
 

@@ -16,7 +16,7 @@ from pairloom.operators import significance as SG
 from pairloom.operators import risk as RK
 from pairloom.operators import simulate as SM
 from pairloom.operators import spread as SP
-from pairloom.plans.pair_queries import _paths, _spread
+from pairloom.plans.pair_queries import _FORM, _paths, _spread
 from pairloom.registry import query
 from pairloom.sources import panels as P
 
@@ -235,18 +235,37 @@ def walk_summary(spark, sf):
     return RP.walk_summary(_results(spark, sf)).select("windows", "profitable", R("mean"), R("median"), R("sharpe", 5), R("stitched"))
 
 
+#: The Sharpe ratio and the annualised return count every day of the calendar up to the stop, 0 where nothing exits.
 _REPLAY = TRADES + ", " + _PROF + f""", x as (select *, least(base * least(abs(zscore) / 2.3, 2), most) as fr from trades cross join prof), y as (select *, fr * 1e8 as val from x),
 z as (select profile, dd_limit, d + cast(greatest(1, holding_days) as int) as d, net_pnl_pct * fr - ({_pc('val')}) / 1e8 as net, {_pc('val')} as cost from y),
-dy as (select profile, dd_limit, d, sum(net) as pnl, count(*) as trades, sum(cost) as cost from z group by 1, 2, 3), v as (select *, exp(sum(ln(1 + greatest(pnl, -0.999999))) over (partition by profile order by d {UP})) as v from dy),
-dd as (select *, 1 - v / greatest(1, max(v) over (partition by profile order by d {UP})) as dd from v), stp as (select profile, min(d) as stop from dd where dd >= dd_limit group by 1)
-select dd.profile, cast(sum(trades) as bigint) as trades, round(arg_max(v, d) - 1, 6) as total, round(max(dd), 6) as max_drawdown, round(sum(cost), 0) as cost, round(avg(pnl) / (stddev_pop(pnl) + 1e-10) * sqrt(252), 4) as sharpe, max(stop) is not null as stopped
-from dd left join stp on stp.profile = dd.profile where stop is null or d <= stop group by 1"""
+dy as (select profile, dd_limit, d, sum(net) as pnl from z group by 1, 2, 3), v as (select *, exp(sum(ln(1 + greatest(pnl, -0.999999))) over (partition by profile order by d {UP})) as v from dy),
+dd as (select *, 1 - v / greatest(1, max(v) over (partition by profile order by d {UP})) as dd from v), stp as (select p.profile, min(d) as stop from prof p left join dd on dd.profile = p.profile and dd >= p.dd_limit group by 1),
+cal as (select s.profile, c.d, coalesce(dy.pnl, 0) as r from stp s join (select distinct d from trades) c on s.stop is null or c.d <= s.stop left join dy on dy.profile = s.profile and dy.d = c.d),
+per as (select profile, avg(r) / (stddev_pop(r) + 1e-10) * sqrt(252) as sharpe, count(*) as days from cal group by 1),
+tr as (select z.profile, count(*) as trades, sum(cost) as cost, count(*) filter (net > 0) / count(*) as win_rate, sum(net) filter (net > 0) / sum(-net) filter (net < 0) as pf from z join stp using (profile) where stop is null or d <= stop group by 1),
+eq as (select dd.profile, arg_max(v, d) - 1 as total, max(dd) as worst from dd join stp using (profile) where stop is null or d <= stop group by 1)
+select profile, trades, round(total, 6) as total, round(total * 252 / days, 6) as annualised, round(worst, 6) as max_drawdown, round(cost, 0) as cost, round(win_rate, 6) as win_rate, round(coalesce(pf, 0), 5) as profit_factor,
+ round(sharpe, 4) as sharpe, days, stop is not null as stopped from eq join per using (profile) join tr using (profile) join stp using (profile)"""
 
 
 @query(f"with {_REPLAY}")
 def fund_replay(spark, sf):
     t = P.trades(spark, sf).withColumn("spread_return", F.col("net_pnl_pct"))
-    return RP.fund_replay(t).select("profile", "trades", R("total"), R("max_drawdown"), R("cost", 0), R("sharpe", 4), "stopped")
+    out = RP.fund_replay(t, P.trades(spark, sf).select("d"))
+    return out.select("profile", "trades", R("total"), R("annualised"), R("max_drawdown"), R("cost", 0), R("win_rate"), R("profit_factor", 5), R("sharpe", 4), "days", "stopped")
+
+
+_RUN = _EQ + """, t as (select *, (trade_id * 3 % 50) / 1e5::double as cost_pct, 0.45::double + (trade_id * 7) % 50 / 100.0::double as quality, (trade_id * 19 % 100) / 100.0::double as feature_quality from trades),
+b as (select exp(sum(ln(1 + pnl))) - 1 as total, count(*) as days, max(dd) as worst from dd)"""
+
+
+@query(f"""with {_RUN} select (select round(total, 6) from b) as total, (select round(worst, 6) from b) as max_drawdown, count(*) as trades, round(sum(cost_pct) * 1e8, 0) as costs, round(sum(cost_pct), 6) as cost_impact, round(avg(cost_pct) * 1e8, 2) as cost_per_trade, round(avg(cost_pct), 8) as cost_pct_per_trade,
+round(avg(strength), 6) as mean_strength, round(avg(quality), 6) as mean_quality, count(*) filter (feature_quality > 0.7) as high_quality, round(avg(net_pnl_pct), 8) as mean_trade, (select max(n) from (select count(*) as n from t group by d)) as most_daily, round(count(*) / (select days from b), 5) as trades_per_day from t""")
+def run_summary(spark, sf):
+    k = F.col("trade_id")
+    t = P.trades(spark, sf).withColumn("cost_pct", F.pmod(k * 3, F.lit(50)) / F.lit(1e5)).withColumn("quality", 0.45 + F.pmod(k * 7, F.lit(50)) / F.lit(100.0)).withColumn("feature_quality", F.pmod(k * 19, F.lit(100)) / F.lit(100.0))
+    out = RP.run_summary(P.daily(spark, sf), t)
+    return out.select(R("total"), R("max_drawdown"), "trades", R("costs", 0), R("cost_impact"), R("cost_per_trade", 2), R("cost_pct_per_trade", 8), R("mean_strength"), R("mean_quality"), "high_quality", R("mean_trade", 8), "most_daily", R("trades_per_day", 5))
 
 
 @query(f"with {DAILY}, i as (select *, sum(cast(pnl > 0.003 as int)) over (order by d {UP}) as isl from daily), r as (select d, pnl, cast(sum(cast(pnl < -0.008 as int)) over (partition by isl order by d {UP}) as bigint) as run from i) select d, pnl, run, run >= 5 as stop from r")
@@ -268,20 +287,26 @@ def hac_tstat(spark, sf):
     return SG.hac_t(P.daily(spark, sf)).select("n", R("mean", 8), R("t", 4))
 
 
+def _totals(spark, sf):
+    return [x.total for x in _results(spark, sf).orderBy("window").collect()]  # a value a quarter
+
+
 @query()
 def significance_report(spark, sf):
-    return SG.report(P.daily(spark, sf))
+    """The tests of the daily series, of what lies in test periods, and of the test periods' returns."""
+    daily, windows = P.daily(spark, sf), _windows(spark, sf)
+    oos = daily.join(F.broadcast(windows), F.col("d").between(F.col("test_start"), F.col("test_end"))).select("d", "pnl")  # a row a quarter
+    return SG.report(daily, oos, _totals(spark, sf))
 
 
 @query()
 def bootstrap_ci(spark, sf):
-    return SG.bootstrap_sharpe(P.daily(spark, sf), draws=1000)
+    return SG.bootstrap_sharpe(P.daily(spark, sf))
 
 
 @query()
 def oos_window_test(spark, sf):
-    r = [x.total for x in _results(spark, sf).orderBy("window").collect()]  # a value a quarter
-    return spark.createDataFrame([SG.window_test(r)], "mean double, t double, p double")
+    return spark.createDataFrame([SG.window_test(_totals(spark, sf))], SG.WINDOW_TEST)
 
 
 # baselines ----------------------------------------------------------------------------------------------------------
@@ -311,14 +336,18 @@ def benchmark_portfolio(spark, sf):
     return BL.portfolio(_distance(spark, sf)).select("d", R("pnl"))
 
 
+_DB = _DT.replace(BARS, _FORM).replace("a.sym < b.sym),\nf as", "a.sym < b.sym join picked k on k.s1 = a.sym and k.s2 = b.sym),\nf as")
+
+
+@query(f"""with recursive {_DB}, k as (select count(*) as k from (select distinct s1, s2 from dt)), day as (select d, sum(pnl) / any_value(k) as r from dt cross join k group by d)
+select round(sum(ln(1 + r)), 5) as log_total, round(coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0), 5) as sharpe, count(*) as days, any_value(k) as pairs from day cross join k""")
+def distance_baseline(spark, sf):
+    return BL.distance_baseline(P.bars_brand_week(spark, sf), "1996-12-31").select(F.round(F.ln(1 + F.col("total")), 5).alias("log_total"), R("sharpe", 5), "days", "pairs")
+
+
 @query()
 def random_control(spark, sf):
-    paths = _paths(spark, sf)
-    symbols = [r.sym for r in paths.select("sym").distinct().orderBy("sym").collect()]  # one universe
-    draws = spark.createDataFrame(BL.random_pairs(symbols, 10), "draw int, s1 string, s2 string")
-    daily = BL.distance_trades(OP.align(paths), "1996-12-31")
-    got = daily.join(F.broadcast(draws), ["s1", "s2"]).groupBy("draw", "d").agg((F.sum("pnl") / 10).alias("pnl"))  # a pair a row
-    return got.groupBy("draw").agg((F.exp(F.sum(F.ln(1 + F.col("pnl")))) - 1).alias("total"))
+    return BL.random_control(P.bars_brand_week(spark, sf), "1996-12-31", pairs=10)
 
 
 @query(f"""with {TRADES}, c as (select distinct pair from trades), x as (select a.pair as a, b.pair as b from c a cross join c b),
@@ -354,12 +383,15 @@ def fund_cost_table(spark, sf):
 
 @query()
 def system_report(spark, sf):
-    """The whole run on weekly brand bars: its walk-forward and backtest rows."""
+    """The whole run on weekly brand bars: its one-row tables as section, measure, value."""
     from pairloom.plans.pair_queries import WEEKLY
-    from pairloom.plans.system import run_system
+    from pairloom.plans.system import measures, run_system
 
-    got = run_system(P.bars_brand_week(spark, sf), P.macro_day(spark, sf), _sectors(spark, sf).select("sym", "d", "close"), "1998-06-30", config=WEEKLY, train=104, test=26)
-    return got["backtest"].withColumn("name", F.lit("backtest")).unionByName(got["baseline"].withColumn("name", F.lit("baseline")))
+    got = run_system(P.bars_brand_week(spark, sf), P.macro_day(spark, sf), _sectors(spark, sf).select("sym", "d", "close"), "1998-06-30", config=WEEKLY, train=104, test=26, tests=False)
+    out = measures("run", got["run"])
+    for name in ("walk_forward", "fdr", "baseline"):
+        out = out.unionByName(measures(name, got[name]))
+    return out
 
 
 # risk and size ------------------------------------------------------------------------------------------------------
