@@ -224,9 +224,10 @@ def grouped(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int =
     open_lists = durable(placed.join(spans, "value").select("value", "node", "comp", "lo", "listed"), "open")
     clusters = components(open_lists.select(F.col("comp").alias("u"), F.col("lo").alias("v"))).select(F.col("node").alias("comp"), F.col("label").alias("cluster"))
     member = durable(open_lists.join(clusters, "comp"), "members")
-    # a small cluster meets whole; of a large one, which may be a long chain, each list by itself
-    size = member.groupBy("cluster").agg(F.count_distinct("node").alias("nodes"))
-    member = member.join(size, "cluster").select(F.when(F.col("nodes") <= BLOCK, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", "value")).alias("g"), "node", "comp").distinct()
+    # a cluster meets whole, in blocks, or list by list, in blocks: whichever sends fewer rows; a long chain goes by lists
+    size = member.groupBy("cluster").agg(F.count_distinct("node").alias("nodes"), F.sum(F.ceil(F.col("listed") / BLOCK)).alias("by_list"))
+    whole = F.col("nodes") * F.ceil(F.col("nodes") / BLOCK) <= F.col("by_list")
+    member = member.join(size, "cluster").select(F.when(whole, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", "value")).alias("g"), "node", "comp").distinct()
     more = durable(_across(member.join(sketches, "node"), texts, words, per_cent, share), "across")
     merged = components(more).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     final = durable(comp.union(more.select("u", "u")).union(more.select("v", "v")).distinct().join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "components")
@@ -246,11 +247,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept
     hold make inverted lists; each node enters only the lists of its rarest values, as many as a pair similar
     enough in sketch must share at least one of. First each list links its members to its most typical one; what the
     union sketch lets pass is confirmed on the whole sets. Then members of the lists that still span several components
-    meet across components, sketches first, by clusters of such lists or, where these are large, list by list and
-    block by block; that gives one confirmed link for two components. So a group of copies or near copies, or a long
+    meet across components, sketches first, by clusters of such lists or list by list, whichever sends fewer rows,
+    and in blocks of BLOCK; that gives one confirmed link for two components. So a group of copies or near copies, or a long
     chain of them, gives rows in proportion to its size, a passage that many documents share stays out of their
-    rarest values, and no link is dropped. Only a list of more than BLOCK members that are in several components
-    meets itself in blocks.
+    rarest values, and no link is dropped. Only lists of more than BLOCK members that are in several components
+    meet themselves block against block.
 
     Null, empty and blank texts have size 0 and are linked with nothing, not even with each other; rows of null id
     are kept and take no part. Rows that repeat an id are separate documents. An empty table gives an empty table.
