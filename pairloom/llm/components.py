@@ -53,15 +53,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, *, group: int = GROUP, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of `edges`, two long columns u and v; label is the smallest node reachable.
 
-    Loops, repeated and reversed edges are fine; null ends are left out; no edges give no rows. Edges are dealt over
-    groups by hash, at most about `group` in one, and each group becomes a forest of stars; if there is but one group
+    Loops, repeated and reversed edges are fine; null ends are left out; no edges give no rows. `edges` is read twice,
+    so what is dear to make comes as a table. Edges are dealt over groups by hash, at most about `group` in one, and each group becomes a forest of stars; if there is but one group
     that is the answer. Otherwise rounds of star steps follow, each written to the shared folder, until the edges, as
     a set, stay as they were, so the number of rounds grows with the logarithm of the longest path.
     """
-    given = durable(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    given = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v")
     groups = parts(given.count(), group)
     e = durable(_joined_up(given, groups), "forest")
-    release(given)
     before = None
     for _ in range(most_rounds if groups > 1 else 0):
         last, e = e, durable(_small_star(_large_star(e)), "star")

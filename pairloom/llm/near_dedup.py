@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, mix64, parts, release, text_batches, word_hashes
+from .shared import durable, held, mix64, parts, release, text_batches, word_hashes
 
 #: Values kept of each set, and the least share of a union sketch that makes a pair worth confirming. A pair of
 #: similarity 0.75 shares 48 of 64 on average with a deviation of 3.5: under 29 has a chance of about 1e-7.
@@ -186,7 +186,7 @@ def _across(members: DataFrame, texts: DataFrame, words: int, per_cent: int, sha
     i, j = F.least("b", "o"), F.greatest("b", "o")
     task = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("g"), F.lit(tasks))).otherwise(F.xxhash64("g", i, j))
     cells = blocked.select("g", i.alias("i"), j.alias("j"), task.alias("task"), "b", "node", "comp", "n", "sketch")
-    sifted = durable(cells.groupBy("task").applyInPandas(sift, _CELL), "sifted")
+    sifted = cells.groupBy("task").applyInPandas(sift, _CELL)
     return sifted.join(texts, "node").groupBy("task").applyInPandas(confirm, "u long, v long").distinct()
 
 
@@ -201,37 +201,41 @@ def grouped(docs: DataFrame, *, words: int = 5, per_cent: int = 75, kept: int =
     nodes = got.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = durable(nodes, "nodes")
 
-    held = nodes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    common = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    listed = held.join(common, "value").groupBy("node", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("l"))  # at most `kept` a node
+    values = nodes.select("node", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    listed = values.join(common, "value").groupBy("node", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("l"))  # at most `kept` a node
     prefix = F.col("k") - _need(F.col("k"), share) + 1 - (F.col("k") - F.size("l"))
     weight = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("weight")
     listed = listed.where(prefix > 0).select("node", weight, F.explode(F.slice("l", 1, F.greatest(prefix, F.lit(1)).cast("int"))["value"]).alias("value"))
     listed = durable(listed, "listed")
     lists = listed.groupBy("value").agg(F.count("*").alias("members"), F.max(F.struct("weight", "node"))["node"].alias("pivot")).where("members > 1")
     star = listed.join(lists, "value").where("node != pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    star = durable(star, "stars")
+    star = held(star)
 
     sketches = nodes.select("node", "n", "sketch")
     near_size = F.lit(100) * F.least("n", "m") >= F.lit(per_cent) * F.greatest("n", "m")
     sized = star.join(nodes.select(F.col("node").alias("u"), "n"), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("m")), "v").where(near_size).select("u", "v")
     texts = _texts(source.select("doc_id", "text"), nodes, star.select(F.col("u").alias("node")).union(star.select("v")), words)
-    comp = components(confirmed(_passing(sized, sketches, kept, share), texts, words, per_cent))
+    links = durable(confirmed(_passing(sized, sketches, kept, share), texts, words, per_cent), "links")
+    comp = components(links)
 
     # lists that still hold several components: their members, in the clusters that such lists connect
     placed = listed.select("node", "value").join(comp.select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spans = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("listed")).where("lo != hi")
-    open_lists = durable(placed.join(spans, "value").select("value", "node", "comp", "lo", "listed"), "open")
+    open_lists = held(placed.join(spans, "value").select("value", "node", "comp", "lo", "listed"))
     clusters = components(open_lists.select(F.col("comp").alias("u"), F.col("lo").alias("v"))).select(F.col("node").alias("comp"), F.col("label").alias("cluster"))
-    member = durable(open_lists.join(clusters, "comp"), "members")
+    member = open_lists.join(clusters, "comp")
     # a cluster meets whole, in blocks, or list by list, in blocks: whichever sends fewer rows; a long chain goes by lists
     size = member.groupBy("cluster").agg(F.count_distinct("node").alias("nodes"), F.sum(F.ceil(F.col("listed") / BLOCK)).alias("by_list"))
     whole = F.col("nodes") * F.ceil(F.col("nodes") / BLOCK) <= F.col("by_list")
     member = member.join(size, "cluster").select(F.when(whole, F.xxhash64("cluster")).otherwise(F.xxhash64("cluster", "value")).alias("g"), "node", "comp").distinct()
+    member = held(member)
     more = durable(_across(member.join(sketches, "node"), texts, words, per_cent, share), "across")
     merged = components(more).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     final = durable(comp.union(more.select("u", "u")).union(more.select("v", "v")).distinct().join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "components")
-    release(listed, star, texts, open_lists, more)
+    for table in (star, open_lists, member):
+        table.unpersist()
+    release(listed, texts, links, more)
     smallest = final.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
     by_node = nodes.select("node", F.col("doc_id").alias("first")).join(final.join(smallest, "label").select("node", "label", "component"), "node", "left")
     by_node = by_node.select("node", F.coalesce("component", "first").alias("component"), F.coalesce("label", "node").alias("label"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks, for what is read a few times and cheap to make again from durable tables.
+
+    What a lost executor held is made anew. It costs no files in the shared folder, but the shuffles that made it stay
+    as long as it does, so what took large shuffles is better durable. End with unpersist().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes durable tables that nothing will read again."""
     for df in tables:
