@@ -32,6 +32,16 @@ def dispersion_z(sectors: DataFrame, n: int = 63, least: int = 30, long: int = 2
     return g.select("d", F.when(ok, (F.col("x") - F.avg("x").over(h)) / (F.stddev_samp("x").over(h) + 1e-10)).alias("z"))
 
 
+def daily_dispersion_z(sectors: DataFrame, least_bars: int = 10, long: int = 252, least_long: int = 60) -> DataFrame:
+    """d, z: cross-section deviation of one-bar returns against its own history, of sectors with more than least_bars bars."""
+    w = W.partitionBy("sym").orderBy("d")
+    r = sectors.withColumn("r", F.try_divide("close", F.lag("close").over(w)) - 1).withColumn("n", F.count("*").over(W.partitionBy("sym")))
+    g = r.where(F.col("n") > least_bars).groupBy("d").agg(F.stddev_samp("r").alias("x")).where("x is not null")
+    h = W.orderBy("d").rowsBetween(-(long - 1), 0)  # as many rows as dates
+    ok = F.count("x").over(h) >= least_long
+    return g.select("d", F.when(ok, (F.col("x") - F.avg("x").over(h)) / (F.stddev_samp("x").over(h) + 1e-10)).alias("z")).where("z is not null")
+
+
 def regime_scale(vix: Column, z: Column) -> Column:
     """The least of the volatility scale and the dispersion scale."""
     by_vix = F.when(vix > 40, 0.25).when(vix > 30, 0.5).otherwise(1.0)

@@ -112,14 +112,8 @@ def stitched(walked: DataFrame, windows: DataFrame, since: str | None = None) ->
     return walked.join(F.broadcast(w.select("window")), "window", "left_semi").select("d", "pnl")  # a row a quarter
 
 
-def fund_replay(t: DataFrame, days: DataFrame | None = None) -> DataFrame:
-    """trades (d, zscore, spread_return, holding_days, short_sym) replayed under each profile: net fractions by exit date, kill switch.
-
-    The trades meet five profiles; sums by profile and exit date come before the running product. days: the trading
-    calendar (d). The Sharpe ratio and the annualised return count all its days up to the stop, with 0 where nothing
-    exits; without a calendar they count exit days alone.
-    """
-    equity = 1e8
+def _fund_days(t: DataFrame, equity: float = 1e8) -> DataFrame:
+    """Sums by profile and exit date up to the profile's stop, with the value of one at the start and its drawdown."""
     x = t.crossJoin(F.broadcast(costs.profiles(t.sparkSession)))  # five rows
     x = x.withColumn("fraction", F.least(F.col("base") * F.least(F.abs("zscore") / 2.3, F.lit(2.0)), F.col("most"))).withColumn("value", F.col("fraction") * equity)
     x = costs.profile_costs(x).withColumn("net", F.col("spread_return") * F.col("fraction") - F.col("cost") / equity)
@@ -129,7 +123,50 @@ def fund_replay(t: DataFrame, days: DataFrame | None = None) -> DataFrame:
     w = W.partitionBy("profile").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
     day = day.withColumn("value", running(F.greatest(F.col("pnl"), F.lit(-0.999999)), w)).withColumn("dd", 1 - F.col("value") / F.greatest(F.lit(1.0), F.max("value").over(w)))
     stop = day.where("dd >= dd_limit").groupBy("profile").agg(F.min("d").alias("stop"))
-    live = day.join(F.broadcast(stop), "profile", "left").where("stop is null or d <= stop")  # at most a row a profile
+    return day.join(F.broadcast(stop), "profile", "left").where("stop is null or d <= stop")  # at most a row a profile
+
+
+def fund_curves(t: DataFrame, equity: float = 1e8) -> DataFrame:
+    """profile, d, value, drawdown: what each profile's equity is worth after each exit date."""
+    return _fund_days(t).select("profile", "d", (F.col("value") * equity).alias("value"), F.col("dd").alias("drawdown"))
+
+
+def by_profile(x: DataFrame, measures: list[str], name: str) -> DataFrame:
+    """x, a row a profile, turned: a row a measure, a column a profile."""
+    each = x.select("profile", *[F.col(m).cast("double").alias(m) for m in measures]).unpivot("profile", measures, name, "v")
+    return each.groupBy(name).pivot("profile", [p[0] for p in costs.PROFILES]).agg(F.max("v"))
+
+
+def fund_metrics(replay: DataFrame, equity: float = 1e8) -> DataFrame:
+    """The report's metrics, of what the replay gave and of the profiles' terms, a row each and a column a profile."""
+    c = F.col
+    x = replay.join(F.broadcast(costs.profiles(replay.sparkSession)), "profile")  # five rows
+    share = c("cost") / equity * 100
+    made = {
+        "total_return_pct": c("total") * 100, "gross_return_pct": c("total") * 100 + share, "annualised_return_pct": c("annualised") * 100, "sharpe": c("sharpe"), "max_drawdown_pct": c("max_drawdown") * 100, "win_rate_pct": c("win_rate") * 100,
+        "profit_factor": c("profit_factor"), "trades": c("trades"), "cost_pct": share, "commission_bps": c("commission_bps"), "bid_ask_bps": c("bid_ask_bps"), "impact_cap_bps": c("impact_cap"),
+        "borrow_easy_pct": c("easy") * 100, "financing_pct": c("financing") * 100, "base_position_pct": c("base") * 100, "stopped": c("stopped").cast("int"),
+    }
+    return by_profile(x.select("profile", *[v.alias(k) for k, v in made.items()]), list(made), "metric")
+
+
+def return_histogram(daily: DataFrame, bins: int = 20) -> DataFrame:
+    """bin, its low edge, days and density of daily returns in equal bins, with their mean and deviation; empty bins have no row."""
+    r = F.col("pnl")
+    m = daily.agg(F.min(r).alias("lo"), ((F.max(r) - F.min(r)) / bins).alias("width"), F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"))
+    at = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(r - F.col("lo"), F.col("width"))), F.lit(0)).cast("int"))
+    x = daily.where("pnl is not null").crossJoin(F.broadcast(m)).groupBy(at.alias("bin"), "lo", "width", "n", "mean", "sd").agg(F.count("*").alias("days"))  # one row
+    return x.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), "days", F.try_divide(F.col("days"), F.col("n") * F.col("width")).alias("density"), "mean", "sd")
+
+
+def fund_replay(t: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """trades (d, zscore, spread_return, holding_days, short_sym) replayed under each profile: net fractions by exit date, kill switch.
+
+    The trades meet five profiles; sums by profile and exit date come before the running product. days: the trading
+    calendar (d). The Sharpe ratio and the annualised return count all its days up to the stop, with 0 where nothing
+    exits; without a calendar they count exit days alone.
+    """
+    live = _fund_days(t)
     total = live.groupBy("profile").agg(
         F.sum("trades").alias("trades"), (F.max_by("value", "d") - 1).alias("total"), F.max("dd").alias("max_drawdown"), F.sum("cost").alias("cost"), F.try_divide(F.sum("wins"), F.sum("trades")).alias("win_rate"),
         F.when(F.sum("lost") > 0, F.sum("won") / F.sum("lost")).otherwise(0.0).alias("profit_factor"), F.first("stop").alias("stop"),

@@ -54,6 +54,21 @@ def _lock(config: EngineConfig) -> Callable[..., Column]:
     return lock
 
 
+def _history(sig: DataFrame, x: DataFrame, most: int = 90) -> DataFrame:
+    """sig with a and b: logarithms of both legs over the last `most` bars of the pair, its own included.
+
+    Bars are packed once, `most` to a block; a signal meets its own block, which carries the one before.
+    """
+    w = W.partitionBy(*PAIR).orderBy("_blk")
+    log = lambda p: F.ln(F.greatest(p, F.lit(1e-8)))
+    bars = x.select(*PAIR, F.floor(F.col("i") / most).alias("_blk"), F.struct(F.col("i").alias("i"), log("p1").alias("a"), log("p2").alias("b")).alias("_v"))
+    packed = bars.groupBy(*PAIR, "_blk").agg(F.array_sort(F.collect_list("_v")).alias("_v"))  # no more than a block holds
+    packed = packed.withColumn("_old", F.lag("_v").over(w)).withColumn("_v", F.when(F.col("_old").isNull(), F.col("_v")).otherwise(F.concat("_old", "_v"))).drop("_old")
+    j = sig.withColumn("_blk", F.floor(F.col("i") / most)).join(packed, [*PAIR, "_blk"])
+    j = j.withColumn("_v", F.filter("_v", lambda v: v["i"].between(F.col("i") - (most - 1), F.col("i"))))
+    return j.withColumn("a", F.transform("_v", lambda v: v["a"])).withColumn("b", F.transform("_v", lambda v: v["b"])).drop("_v", "_blk")
+
+
 def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFIG, *, least: int = 50, schedule: DataFrame | None = None, scores: DataFrame | None = None, fills: DataFrame | None = None) -> DataFrame:
     """One row for each pair and signal day that passes the gates that need no portfolio state.
 
@@ -66,7 +81,7 @@ def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFI
     it takes part in the ranking of its day.
     """
     w = W.partitionBy(*PAIR).orderBy("d")
-    last60, last90 = w.rowsBetween(-59, 0), w.rowsBetween(-89, 0)
+    last60 = w.rowsBetween(-59, 0)
     x = SP.expanding_z(kalman.join(calendar(kalman), "d")).withColumn("i", F.row_number().over(w))
     if fills is None:
         x = x.withColumn("f1", F.col("p1")).withColumn("f2", F.col("p2"))
@@ -76,8 +91,6 @@ def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFI
     sd60 = F.stddev_samp("s").over(last60)
     x = x.withColumn("m60", F.avg("s").over(last60)).withColumn("s60", F.when((F.col("i") >= 30) & (sd60 >= 1e-8), sd60))
     x = x.withColumn("ds", F.col("s") - F.lag("s").over(w)).withColumn("vol10", F.stddev_samp("ds").over(w.rowsBetween(-9, 0)))
-    # at most 90 numbers each, for rows in passing: only those of signals stay
-    x = x.withColumn("a", F.collect_list(F.ln(F.greatest("p1", F.lit(1e-8)))).over(last90)).withColumn("b", F.collect_list(F.ln(F.greatest("p2", F.lit(1e-8)))).over(last90))
     sig = x.where((F.col("i") >= least) & (F.col("corr") >= config.min_recent_correlation) & (F.abs("z") > config.entry_z))
     sig = SP.reference_window(sig.join(stats.where("score >= 0.4").select(*PAIR, "half_life", F.col("score").alias("quality")), list(PAIR)))
     if schedule is not None:
@@ -87,7 +100,7 @@ def candidates(kalman: DataFrame, stats: DataFrame, config: EngineConfig = CONFI
     else:
         sig = sig.join(scores.select(*PAIR, "d", F.col("score").alias("feature")), [*PAIR, "d"], "left").withColumn("feature", F.coalesce("feature", F.lit(1.0)))
     sig = sig.withColumn("hold", F.greatest(F.lit(10), F.least(F.lit(25), F.floor(2.5 * F.col("half_life")))).cast("int"))
-    sig = sig.withColumn("lock", _lock(config)("a", "b", "beta", "window")).where("lock.ok")
+    sig = _history(sig, x).withColumn("lock", _lock(config)("a", "b", "beta", "window")).where("lock.ok")
     sig = sig.select(
         *PAIR, F.col("d").alias("signal_d"), F.col("n").alias("n0"), F.col("next_d").alias("fill_d"), "z", "quality", "feature", "hold", F.col("beta").alias("beta0"), F.col("lock.mu").alias("mu0"), F.col("lock.sd").alias("sd0"),
         F.coalesce((F.col("s") - F.col("lock.mu")) / F.col("lock.sd"), "z").alias("z0"), F.coalesce("lock.vol", "vol10").alias("sizer_vol"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), (F.col("z") < 0).alias("long"),

@@ -39,6 +39,14 @@ def dispersion_z(spark, sf):
     return RG.dispersion_z(_sectors(spark, sf)).select("d", R("z", 5))
 
 
+@query(f"""with {SECTOR}, r as (select sym, d, close / lag(close) over (partition by sym order by d) - 1 as r, count(*) over (partition by sym) as n from sector),
+g as (select d, stddev_samp(r) as x from r where n > 10 group by d having stddev_samp(r) is not null),
+z as (select d, case when count(x) over h >= 60 then (x - avg(x) over h) / (stddev_samp(x) over h + 1e-10) end as z from g window h as (order by d rows between 251 preceding and current row))
+select d, round(z, 5) as z from z where z is not null""")
+def daily_dispersion_z(spark, sf):
+    return RG.daily_dispersion_z(_sectors(spark, sf)).select("d", R("z", 5))
+
+
 @query(f"with {MACRO} select d, vix, case when vix > 40 then 'high' when vix > 30 then 'raised' when vix < 20 then 'low' else 'usual' end as band from macro")
 def vix_bands(spark, sf):
     v = F.col("vix")
@@ -99,9 +107,17 @@ _PROF = """prof(profile, commission_bps, bid_ask_bps, impact, impact_cap, easy,
 ('institutional', 0.42, 1.19, 0.15, 4.0, 0.0005, 0.001, 0.005, 0.0, 2e9, 0.02, 0.05, 3, 0.10), ('retail', 7.0, 15.0, 2.50, 80.0, 0.030, 0.060, 0.150, 0.030, 1e8, 0.02, 0.05, 2, 0.15))"""
 
 
+def _parts(value):
+    """The five parts of a profile's round trip, in the order of the report."""
+    return {
+        "commission": f"4 * {value} / 2 * commission_bps / 1e4", "bid_ask": f"4 * {value} / 2 * bid_ask_bps / 1e4", "impact": f"{value} * least(impact * sqrt({value} / 2 / greatest(adv, 1)) * 1e4, impact_cap) / 1e4",
+        "borrow": f"{value} / 2 * case when length(short_sym) <= 3 then easy when length(short_sym) = 4 then general else hard end * holding_days / 365",
+        "financing": f"{value} * (1 - 1 / greatest(1, base * day_trades * 5)) * (0.05::double + financing) * holding_days / 365",
+    }
+
+
 def _pc(value):
-    return f"""4 * {value} / 2 * commission_bps / 1e4 + 4 * {value} / 2 * bid_ask_bps / 1e4 + {value} * least(impact * sqrt({value} / 2 / greatest(adv, 1)) * 1e4, impact_cap) / 1e4
- + {value} / 2 * case when length(short_sym) <= 3 then easy when length(short_sym) = 4 then general else hard end * holding_days / 365 + {value} * (1 - 1 / greatest(1, base * day_trades * 5)) * (0.05::double + financing) * holding_days / 365"""
+    return " + ".join(_parts(value).values())
 
 
 @query(f"with {TRADES}, {_PROF} select profile, round(avg({_pc('1e6')}), 4) as cost, round(max({_pc('1e6')}), 4) as most_cost from trades cross join prof group by profile")
@@ -359,7 +375,7 @@ def pair_correlation_matrix(spark, sf):
     names = P.trades(spark, sf).select("pair").distinct()
     a, b = t.select(F.col("pair").alias("a"), "d", F.col("r").alias("x")), t.select(F.col("pair").alias("b"), "d", F.col("r").alias("y"))
     m = a.join(b, "d").groupBy("a", "b").agg(F.corr("x", "y").alias("c"))
-    grid = names.select(F.col("pair").alias("a")).crossJoin(F.broadcast(names.select(F.col("pair").alias("b"))))  # some ten names
+    grid = names.select(F.col("pair").alias("a")).crossJoin(names.select(F.col("pair").alias("b")))  # the result has a row a cell; names are broadcast only below the session's threshold
     return grid.join(m, ["a", "b"], "left").select("a", "b", (F.col("a") == F.col("b")).cast("int").alias("placeholder"), F.when(F.abs("c") > 0.999999, F.round("c", 1)).otherwise(F.round("c", 4)).alias("correlation"))
 
 
@@ -371,14 +387,46 @@ def longest_windows(spark, sf):
     return pick(s)
 
 
-@query(f"with {TRADES}, {_PROF}, z as (select profile, {_pc('1e6')} as total, 4 * 1e6 / 2 * commission_bps / 1e4 as commission, 4 * 1e6 / 2 * bid_ask_bps / 1e4 as bid_ask from trades cross join prof) "
-       "select 'commission' as part, " + ", ".join(f"round(sum(commission) filter (profile = '{p[0]}'), 0) as {p[0]}" for p in C.PROFILES) + " from z union all select 'bid_ask', " + ", ".join(f"round(sum(bid_ask) filter (profile = '{p[0]}'), 0)" for p in C.PROFILES) + " from z")
+def _turned(of, name, values, digits):
+    """SQL of rows of `of`, a row a profile, turned to a row a value and a column a profile."""
+    wide = lambda v: ", ".join(f"round({v} filter (profile = '{p[0]}'), {digits}) as {p[0]}" for p in C.PROFILES)
+    return " union all ".join(f"select '{k}' as {name}, {wide(v)} from {of}" for k, v in values.items())
+
+
+@query(f"with {TRADES}, {_PROF}, z as (select profile, " + ", ".join(f"{v} as {k}_cost" for k, v in _parts("1e6").items()) + " from trades cross join prof) " + _turned("z", "part", {k: f"sum({k}_cost)" for k in _parts("1e6")}, 0))
 def fund_cost_table(spark, sf):
     """The transposed cost table of the fund report: components as rows, profiles as columns."""
     t = P.trades(spark, sf).select("short_sym", "holding_days", F.lit(1e6).alias("value")).crossJoin(F.broadcast(C.profiles(spark)))  # five rows
-    x = C.profile_costs(t).groupBy("profile").agg(F.sum("commission_cost").alias("commission"), F.sum("bid_ask_cost").alias("bid_ask"))
-    names = [p[0] for p in C.PROFILES]
-    return x.unpivot("profile", ["commission", "bid_ask"], "part", "v").groupBy("part").pivot("profile", names).agg(F.round(F.sum("v"), 0))
+    parts = ["commission", "bid_ask", "impact", "borrow", "financing"]
+    x = C.profile_costs(t).groupBy("profile").agg(*[F.sum(f"{k}_cost").alias(k) for k in parts])
+    return RP.by_profile(x, parts, "part").select("part", *[R(p[0], 0) for p in C.PROFILES])
+
+
+_METRICS = {
+    "total_return_pct": "total * 100", "gross_return_pct": "total * 100 + cost / 1e6", "annualised_return_pct": "annualised * 100", "sharpe": "sharpe", "max_drawdown_pct": "max_drawdown * 100", "win_rate_pct": "win_rate * 100",
+    "profit_factor": "profit_factor", "trades": "trades::double", "cost_pct": "cost / 1e6", "commission_bps": "commission_bps", "bid_ask_bps": "bid_ask_bps", "impact_cap_bps": "impact_cap",
+    "borrow_easy_pct": "easy * 100", "financing_pct": "financing * 100", "base_position_pct": "base * 100", "stopped": "stopped::int::double",
+}
+
+
+@query(f"with replay as (with {_REPLAY}), {_PROF}, r as (select * from replay join prof using (profile)) " + _turned("r", "metric", {k: f"max({v})" for k, v in _METRICS.items()}, 3))
+def fund_metric_table(spark, sf):
+    """The transposed metrics of the fund report: metrics as rows, profiles as columns."""
+    return RP.fund_metrics(fund_replay(spark, sf)).select("metric", *[R(p[0], 3) for p in C.PROFILES])
+
+
+@query(f"with {_REPLAY[: _REPLAY.index('select profile, trades')]} select dd.profile, d, round(v * 100, 4) as value, round(dd, 6) as drawdown from dd join stp using (profile) where stop is null or d <= stop")
+def fund_curves(spark, sf):
+    """Equity in millions by exit date of each profile, up to its stop."""
+    t = P.trades(spark, sf).withColumn("spread_return", F.col("net_pnl_pct"))
+    return RP.fund_curves(t).select("profile", "d", F.round(F.col("value") / 1e6, 4).alias("value"), R("drawdown"))
+
+
+@query(f"""with {DAILY}, m as (select min(pnl) as lo, (max(pnl) - min(pnl)) / 20 as width, count(*) as n, avg(pnl) as mean, stddev_pop(pnl) as sd from daily),
+b as (select least(19, cast(floor((pnl - lo) / width) as int)) as bin, count(*) as days from daily cross join m group by 1)
+select bin, round(lo + bin * width, 8) as low, days, round(days / (n * width), 4) as density, round(mean, 8) as mean, round(sd, 8) as sd from b cross join m""")
+def return_histogram(spark, sf):
+    return RP.return_histogram(P.daily(spark, sf)).select("bin", R("low", 8), "days", R("density", 4), R("mean", 8), R("sd", 8))
 
 
 @query()
@@ -396,15 +444,15 @@ def system_report(spark, sf):
 
 # risk and size ------------------------------------------------------------------------------------------------------
 
-_SIZES = TRADES + """, sized as (select trade_id, strength, zscore, 0.45::double + (trade_id * 7) % 50 / 100.0::double as quality, (trade_id * 11) % 40 / 100.0::double as volatility, (trade_id * 13) % 30 / 100.0::double as exposure, (trade_id * 3) % 4 * 600000.0::double as volume, px_long from trades),
-f as (select *, greatest(0.03, least(0.1, 0.04::double * least(0.7 + 0.6 * strength, 2) * least(0.8 + 0.4 * quality, 1.5) * case when volatility > 0.08 then 0.8 else 1 end)) * least(abs(zscore) / 2.3, 2) as size from sized)"""
+_SIZES = TRADES + """, sized as (select trade_id, strength, zscore, 0.45::double + (trade_id * 7) % 50 / 100.0::double as quality, (trade_id * 11) % 40 / 100.0::double as volatility, (trade_id * 13) % 30 / 100.0::double as exposure, (trade_id * 3) % 4 * 600000.0::double as volume, (trade_id * 5) % 6 / 5.0::double as won, (trade_id * 23) % 12 as outcomes from trades),
+f as (select *, greatest(0.03, least(0.1, 0.04::double * least(0.7 + 0.6 * strength, 2) * least(0.8 + 0.4 * quality, 1.5) * case when outcomes > 5 and won < 0.3 then 0.7 when outcomes > 5 and won > 0.7 then 1.3 else 1 end * case when volatility > 0.08 then 0.8 else 1 end)) * least(abs(zscore) / 2.3, 2) as size from sized)"""
 
 
 def _sized(spark, sf):
     k = F.col("trade_id")
     part = lambda m, n: F.pmod(k * m, F.lit(n))
-    t = P.trades(spark, sf).select("trade_id", "strength", "zscore", (0.45 + part(7, 50) / F.lit(100.0)).alias("quality"), (part(11, 40) / F.lit(100.0)).alias("volatility"), (part(13, 30) / F.lit(100.0)).alias("exposure"), (part(3, 4) * 600000.0).alias("volume"))
-    return t.withColumn("size", RK.size_fraction(F.col("strength"), F.col("quality"), F.col("zscore"), F.col("volatility")))
+    t = P.trades(spark, sf).select("trade_id", "strength", "zscore", (0.45 + part(7, 50) / F.lit(100.0)).alias("quality"), (part(11, 40) / F.lit(100.0)).alias("volatility"), (part(13, 30) / F.lit(100.0)).alias("exposure"), (part(3, 4) * 600000.0).alias("volume"), (part(5, 6) / F.lit(5.0)).alias("won"), part(23, 12).alias("outcomes"))
+    return t.withColumn("size", RK.size_fraction(F.col("strength"), F.col("quality"), F.col("zscore"), F.col("volatility"), by_form=RK.form(F.col("won"), F.col("outcomes"))))
 
 
 @query(f"with {_SIZES} select trade_id, round(size, 8) as size from f")
@@ -467,6 +515,29 @@ def robust_scale(spark, sf):
     return SC.robust_scale(o, ["x"]).select("o_orderkey", R("x"))
 
 
+@query(f"""with {TRADES}, z as (select trade_id, pair, d, net_pnl_pct as gain, case when action = 'LONG' then -zscore else zscore end as z from trades), a as (select *, case when z > 2 and least(abs(z) / 2.5, 1) > 0.65::double then 2 when z < -2 and least(abs(z) / 2.5, 1) > 0.65::double then 0 else 1 end as act from z),
+c as (select *, count(*) over w as acts, count(*) filter (act = 1) over w as waits from a window w as (partition by pair order by d, trade_id {UP})),
+r as (select *, case act when 0 then case when gain > 0 then gain * 10000 + 200 else gain * 2500 end when 2 then case when gain < 0 then -gain * 10000 + 200 else -gain * 2500 end else case when abs(z) > 1.75 then -50 else -5 end end as direction,
+ case when abs(z) <= 1.75 then 0 when (z > 1.75 and act = 2 and gain < 0) or (z < -1.75 and act = 0 and gain > 0) then 200 when act <> 1 then 20 else 0 end as bonus,
+ case when acts <= 20 then 0 when (acts - waits) / acts > 0.15 and (acts - waits) / acts < 0.5 then 100 when (acts - waits) / acts > 0.05 then 50 when waits / acts > 0.85 then -100 else 0 end as steady from c)
+select trade_id, act, round(greatest(-500, least(500, direction + bonus + steady)), 4) as reward from r""")
+def signal_rewards(spark, sf):
+    from pyspark.sql import Window as W
+
+    t = P.trades(spark, sf).select("trade_id", "pair", "d", F.col("net_pnl_pct").alias("gain"), F.when(F.col("action") == "LONG", -F.col("zscore")).otherwise(F.col("zscore")).alias("z"))
+    w = W.partitionBy("pair").orderBy("d", "trade_id").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("act", SC.action(F.col("z"))).withColumn("acts", F.count("*").over(w)).withColumn("waits", F.count_if(F.col("act") == 1).over(w))
+    return t.select("trade_id", "act", F.round(SC.reward(*map(F.col, ("act", "gain", "z", "acts", "waits"))), 4).alias("reward"))
+
+
+@query("""with p as (select distinct p_brand as s1, p_type as s2 from part), k as (select p_brand as s1, p_type as s2, round(avg(p_size) / 100, 6) as correlation, nullif(max(p_size), 49)::double as half_life, nullif(min(p_size), 26) / 1000.0::double as cointegration_pvalue, count(*) / 10.0::double as quality_score from part where p_size > 25 group by 1, 2)
+select s1, s2, coalesce(correlation, 0.5::double) as correlation, coalesce(half_life, 30::double) as half_life, coalesce(cointegration_pvalue, 0.05::double) as cointegration_pvalue, coalesce(quality_score, 0.8::double) as quality_score from p left join k using (s1, s2)""")
+def pair_stat_defaults(spark, sf):
+    part = P.table(spark, sf, "part").select(F.col("p_brand").alias("s1"), F.col("p_type").alias("s2"), "p_size")
+    known = part.where("p_size > 25").groupBy("s1", "s2").agg(F.round(F.avg("p_size") / 100, 6).alias("correlation"), F.nullif(F.max("p_size"), F.lit(49)).cast("double").alias("half_life"), (F.nullif(F.min("p_size"), F.lit(26)) / F.lit(1000.0)).alias("cointegration_pvalue"), (F.count("*") / F.lit(10.0)).alias("quality_score"))
+    return SC.with_pair_stats(part.select("s1", "s2").distinct(), known)
+
+
 @query()
 def scorer_rank(spark, sf):
     s = _spread(spark, sf)
